@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: Value rules: arithmetic wraps and divides without raising; one session zone; the optimizer re-plans at run time.
@@ -29,3 +31,15 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers of this machine import this package from where the driver did.
+
+    A cluster has the package installed or shipped with the job; this only adds a search path.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark
