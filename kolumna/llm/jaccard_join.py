@@ -55,7 +55,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 def mixed(x: np.ndarray, by: int = 0) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
-    x = x + np.uint64(by) * _A
+    x = x + np.uint64(by * int(_A) % 2**64)
     x = (x ^ (x >> np.uint64(32))) * _B
     x = (x ^ (x >> np.uint64(29))) * _C
     return x ^ (x >> np.uint64(32))
