@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolumna.llm import exact_dedup, jaccard_join, secrets
+from kolumna.llm import exact_dedup, jaccard_join, quality, secrets
 from kolumna.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
@@ -23,7 +27,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op7_jaccard_join, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op7_jaccard_join, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
