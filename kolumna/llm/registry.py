@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolumna.llm import exact_dedup, jaccard_join, quality, secrets
+from kolumna.llm import exact_dedup, html_text, jaccard_join, quality, secrets, sentencepiece_scan, toxicity
 from kolumna.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
@@ -26,8 +34,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op7_jaccard_join, op8_exact_dedup)}
+    all_of = (
+        op1_secret_scan,
+        op2_quality_classifier,
+        op4_sentencepiece_scan,
+        op6_html_extraction,
+        op7_jaccard_join,
+        op8_exact_dedup,
+        op9_toxicity,
+    )
+    return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
