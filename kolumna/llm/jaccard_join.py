@@ -16,7 +16,7 @@ Skew
   Copies (equal sets) are combined in each task before they are filed, and each task sends one row per key. A key's
   members are compared with one leader, the member found in most shared keys (in a family of edited copies that is the
   original), not with each other. Only where a member is still apart from its leader's component are the remaining
-  pairs of that key looked at, in tiles of bounded size. Links are verified on the n-grams themselves.
+  pairs of that key looked at, in tiles of bounded size (first by sketches that bound the difference, then by whole sets). Links are verified on the whole sets of n-grams (64-bit hashes of them).
 
 Rows
   Null or blank texts have no n-grams and link with nothing; texts of fewer words than n count as one n-gram, the whole
@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -105,11 +104,12 @@ def band_top(band: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def allocation(band: int, num: int, den: int, share: float = 0.3, documents: float = 1e6) -> tuple[str, int]:
-    """("exact" or "deletion", segments) for a band, whichever costs less.
+def allocation(band: int, num: int, den: int, documents: int, share: float = 0.02) -> tuple[str, int]:
+    """("exact" or "deletion", segments) for a band, whichever costs less among so many documents.
 
     Cost of a set: the rows it files, and the unrelated sets it meets, taking each n-gram to be common with probability
-    ``share``, so that a key of t n-grams meets documents * share**t of them. Either allocation finds every link.
+    ``share``, so that a key of t n-grams meets documents * share**t of them: the larger the table, the fuller the keys
+    must be, which the one-deletion neighbourhoods buy with more rows. Either allocation finds every link.
     """
     top = band_top(band)
     bound = most_differences(top, num, den)
@@ -121,35 +121,73 @@ def allocation(band: int, num: int, den: int, share: float = 0.3, documents: flo
     return ("exact", exact) if cost_exact <= cost_deletion else ("deletion", halved)
 
 
-def keys_of(h: np.ndarray, num: int, den: int) -> np.ndarray:
+def segments(h: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A set's m segments in a band: (content sum and n-gram count of each; mixed hashes and their segments, in order)."""
+    x = mixed(h, band * 8 + 1)
+    segment = (x % np.uint64(m)).astype(np.int64)
+    order = np.argsort(segment, kind="stable")
+    x, at = mixed(x[order], 5), segment[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sums = np.zeros(m, np.uint64)
+    sums[at[starts]] = np.add.reduceat(x, starts)
+    return sums, np.bincount(at, minlength=m), x, at
+
+
+def bands_of(size: int, num: int, den: int) -> set[int]:
+    return {band_of(size), band_of(max(size, size * den // num))}
+
+
+def keys_of(h: np.ndarray, num: int, den: int, documents: int) -> np.ndarray:
     """The keys under which a set (sorted distinct hashes, not empty) is filed."""
     size, out = len(h), []
-    for band in {band_of(size), band_of(max(size, size * den // num))}:
-        how, m = allocation(band, num, den)
-        seed = band * 8 + 1
-        x = mixed(h, seed)
-        segment = (x % np.uint64(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        x, at = mixed(x[order], 5), segment[order]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sums = np.zeros(m, np.uint64)
-        sums[at[starts]] = np.add.reduceat(x, starts)
-        count = np.bincount(at, minlength=m)
-        label = mixed(np.arange(m, dtype=np.uint64) + np.uint64(seed << 32), 3)
-        if how == "exact":
-            keys = mixed(sums ^ label)
-            need = most_differences(size, num, den) + 1
-            if need < m:  # the fullest segments; ties are broken by content, so both partners cut alike
-                rank = np.lexsort((keys, -count))
-                keys = keys[rank[:need]]
-            out.append(keys)
-        else:
-            out.append(mixed(sums ^ label))  # equal, or the other set has one more
+    for band in bands_of(size, num, den):
+        how, m = allocation(band, num, den, documents)
+        sums, count, x, at = segments(h, band, m)
+        label = mixed(np.arange(m, dtype=np.uint64) + np.uint64(band * 8 + 1 << 32), 3)
+        keys = mixed(sums ^ label)
+        need = most_differences(size, num, den) + 1
+        if how == "deletion":
+            out.append(keys)  # equal, or the other set has one more
             out.append(mixed((sums[at] - x) ^ label[at]))  # one deleted
+        elif need < m:  # the fullest segments; ties are broken by content, so both partners cut alike
+            out.append(keys[np.lexsort((keys, -count))[:need]])
+        else:
+            out.append(keys)
     return np.unique(np.concatenate(out))
 
 
-def _file(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def sketch_bytes(band: int) -> int:
+    """Size of a band's sketches: four bits for each n-gram of its largest set."""
+    return 8 * math.ceil(4 * band_top(band) / 64)
+
+
+def sketches_of(h: np.ndarray, num: int, den: int) -> bytes:
+    """For each band a set is filed in: the band, and a bit for each of many parcels, whether its n-grams are odd in number.
+
+    Of two sets of a band, no more bits differ than n-grams do, and hardly fewer.
+    """
+    out = []
+    for band in sorted(bands_of(len(h), num, den)):
+        size = sketch_bytes(band)
+        parcel = (mixed(h, band * 8 + 2) % np.uint64(8 * size)).astype(np.int64)
+        odd = (np.bincount(parcel, minlength=8 * size) & 1).astype(np.uint8)
+        out.append(np.array([band], np.uint32).tobytes() + np.packbits(odd).tobytes())
+    return b"".join(out)
+
+
+def sketch_in(sketches: bytes, band: int) -> np.ndarray | None:
+    """A set's sketch in a band, or None."""
+    at = 0
+    while at < len(sketches):
+        own = int(np.frombuffer(sketches, np.uint32, 1, at)[0])
+        size = sketch_bytes(own)
+        if own == band:
+            return np.frombuffer(sketches, np.uint8, size, at + 4)
+        at += 4 + size
+    return None
+
+
+def _file(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, documents: int) -> Iterator[pa.RecordBatch]:
     """Rows of three kinds (see SCHEMA); what: set (one for each document), key (one for each key), member (others)."""
     cache = WordHashes()
     sets: dict[bytes, list] = {}
@@ -198,7 +236,7 @@ def _file(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
                 sets[print_][0].append(doc_id)
                 filed += 1
                 continue
-            own = keys_of(h, num, den) if len(h) else None
+            own = keys_of(h, num, den, documents) if len(h) else None
             sets[print_] = [[doc_id], len(h), own]
             filed += 1 + (len(own) if own is not None else 0)
             if filed > FLUSH:
@@ -219,59 +257,143 @@ def _batch(what: str, key, id_, n, f2, local) -> pa.RecordBatch:
     )
 
 
-def exact_shingles(text: bytes, n: int) -> frozenset[bytes]:
-    """The n-grams themselves (words joined by one blank; words hold none)."""
-    words = text.lower().split()
-    if not words:
-        return frozenset()
-    n = min(n, len(words))
-    return frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+def _hashed(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(id, its set as bytes of sorted 64-bit hashes, its sketches, its size)."""
+    cache = WordHashes()
+    for batch in batches:
+        sets = [shingle_hashes(t.lower().split(), n, cache) for t in batch.column(1).to_pylist()]
+        sketches = [sketches_of(h, num, den) if len(h) else b"" for h in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(sketches, pa.binary()), pa.array([len(h) for h in sets], pa.int32())],
+            names=["id", "h", "sketches", "size"],
+        )
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
 
-def linked(a: frozenset, b: frozenset, num: int, den: int) -> bool:
-    if not a or not b:
-        return False
-    both = len(a & b)
-    return den * both >= num * (len(a) + len(b) - both)
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of ids whose sizes and sketches allow a link (columns: two ids, two sketches, two sizes)."""
+    for batch in batches:
+        keep = []
+        for x, y, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            lo, hi = min(a, b), max(a, b)
+            ok = 0 < den * lo and den * lo >= num * hi
+            if ok:
+                p, q = sketch_in(x, band_of(hi)), sketch_in(y, band_of(hi))
+                ok = int(np.bitwise_count(p ^ q).sum()) <= differences(lo, hi, num, den)
+            keep.append(ok)
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["id", "other"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    shingles = lru_cache(maxsize=64)(lambda text: exact_shingles(text, n))
+def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-        keep = [linked(shingles(x), shingles(y), num, den) for x, y in zip(ta, tb)]
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = common(x, y) if den * min(len(x), len(y)) >= num * max(len(x), len(y)) else 0
+            keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
-def _tile(rows: pd.DataFrame, n: int, num: int, den: int) -> pd.DataFrame:
-    """Links between the apart (role 0) and the others (role 1) of a tile, at most one for each row and label."""
-    rows = rows.drop_duplicates(["role", "id", "text"])
-    sets = [exact_shingles(t, n) for t in rows["text"]]
-    seen: dict[bytes, int] = {}
-    for s in sets:
-        for x in s:
-            seen[x] = seen.get(x, 0) + 1
-    number = {x: i for i, x in enumerate(x for x, c in seen.items() if c > 1)}
-    size = np.array([len(s) for s in sets])
-    role, ids, label = rows["role"].to_numpy(), rows["id"].to_numpy(), rows["label"].to_numpy()
+def tile_links(ids: list, labels: list, roles: list, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the apart (role 0) and others (role 1) under different labels, at most one for each row and label."""
+    role, label, size = np.array(roles), np.array(labels), np.array([len(h) for h in sets])
+    left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    if not len(left) or not len(right):
+        return []
+    lo, hi = np.minimum(size[left][:, None], size[right]), np.maximum(size[left][:, None], size[right])
+    may = (label[left][:, None] != label[right]) & (den * lo >= num * hi)
+    left, may = left[may.any(1)], may[may.any(1)]
+    right, may = right[may.any(0)], may[:, may.any(0)]
+    if not may.any():
+        return []
+    rows = np.r_[left, right]
+    owner = np.repeat(np.arange(len(rows)), size[rows])
+    _, token, times = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # hashes that only one set has cannot meet
+    owner, token = owner[times[token] > 1], number[token[times[token] > 1]]
+    both, step = np.zeros(may.shape, np.int64), 16384
+    for at in range(0, int((times > 1).sum()), step):  # in slices, so that memory is bounded
+        m = np.zeros((len(rows), step), np.float32)
+        own = (token >= at) & (token < at + step)
+        m[owner[own], token[own] - at] = 1
+        both += np.rint(m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    hit = may & (both > 0) & (den * both >= num * (size[left][:, None] + size[right] - both))
+    out = []
+    for i in np.flatnonzero(hit.any(1)):
+        js = right[hit[i]]
+        _, one = np.unique(label[js], return_index=True)
+        out += [(ids[left[i]], ids[j]) for j in js[one]]
+    return out
+
+
+def tile_hopeful(labels: list, roles: list, sizes: list, sketches: list[bytes], num: int, den: int) -> tuple:
+    """(left rows, right rows, matrix): which pairs of a tile have sizes and sketches that allow a link."""
+    role, label, size = np.array(roles), np.array(labels), np.array(sizes, np.int64)
     left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-    out: list[tuple[int, int]] = []
-    if len(left) and len(right) and number:
-        column = [np.fromiter((number[x] for x in s if x in number), np.int64) for s in sets]
-        both = np.zeros((len(left), len(right)), np.int64)
-        for lo in range(0, len(number), 16384):  # n-grams in slices, so that memory is bounded
-            m = np.zeros((len(sets), min(16384, len(number) - lo)), np.float32)
-            for i, c in enumerate(column):
-                m[i, c[(c >= lo) & (c < lo + 16384)] - lo] = 1
-            both += np.rint(m[left] @ m[right].T).astype(np.int64)
-        union = size[left][:, None] + size[right][None, :] - both
-        hit = (both > 0) & (den * both >= num * union) & (label[left][:, None] != label[right][None, :])
-        for i in range(len(left)):
-            js = right[hit[i]]
-            _, one = np.unique(label[js], return_index=True)
-            out += [(ids[left[i]], ids[j]) for j in js[one]]
-    return pd.DataFrame({"a": [x for x, _ in out], "b": [y for _, y in out]}, dtype="int64")
+    lo, hi = np.minimum(size[left][:, None], size[right]), np.maximum(size[left][:, None], size[right])
+    may = (label[left][:, None] != label[right]) & (den * lo >= num * hi)
+    bound = (lo + hi) * (den - num) // (den + num)
+    top = [band_of(max(int(x), 1)) for x in size]
+    for band in set(top):  # a pair is compared in the larger set's band, in which the smaller one has a sketch too
+        own = {i: x for i in range(len(size)) if (x := sketch_in(sketches[i], band)) is not None}
+        ls, rs = [k for k, i in enumerate(left) if i in own], [k for k, i in enumerate(right) if i in own]
+        if ls and rs:
+            r = np.stack([own[right[k]] for k in rs])
+            for k in ls:
+                may[k, rs] &= np.bitwise_count(r ^ own[left[k]]).sum(1, dtype=np.int64) <= bound[k, rs]
+    return left, right, may
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], of_tile) -> Iterator[list]:
+    """of_tile(rows) for each run of rows of one tile (the first three columns); rows come sorted, so one tile is held."""
+    tile, rows = None, []
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != tile:
+                out += of_tile(rows) if rows else []
+                tile, rows = row[:3], []
+            rows.append(row)
+        yield out
+    yield of_tile(rows) if rows else []
+
+
+#: A tile with more hopeful pairs for each of its rows than this is checked as a whole; others list their pairs.
+DENSE = 4
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (id, other) that may have a link, or, of tiles with many, the rows concerned (other: null)."""
+
+    def of_tile(rows: list) -> list:
+        *_, ids, labels, roles, sizes, sketches = zip(*rows)
+        left, right, may = tile_hopeful(labels, roles, sizes, sketches, num, den)
+        if may.sum() <= DENSE * len(rows):
+            return [(None, None, None, ids[left[i]], None, None, ids[right[j]]) for i, j in np.argwhere(may)]
+        return [(*rows[i][:6], None) for i in np.r_[left[may.any(1)], right[may.any(0)]]]
+
+    names = ["key", "u", "v", "id", "label", "role", "other"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    for out in _by_tile(batches, of_tile):
+        columns = zip(*out) if out else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    def of_tile(rows: list) -> list:
+        *_, ids, labels, roles, sets = zip(*rows)
+        return tile_links(ids, labels, roles, [np.frombuffer(h, np.uint64) for h in sets], num, den)
+
+    for out in _by_tile(batches, of_tile):
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -290,7 +412,8 @@ def jaccard_components(
 ) -> DataFrame:
     """Each row's doc_id, n_shingles (size of its set) and component_id (smallest id reachable by links)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).cast("binary").alias("text"))
-    filed = stored(rows.mapInArrow(lambda it: _file(it, n, num, den), SCHEMA), "filed", "what")
+    documents = rows.count()
+    filed = stored(rows.mapInArrow(lambda it: _file(it, n, num, den, documents), SCHEMA), "filed", "what")
     sets = filed.where("what = 'set'").select(F.col("key").alias("f1"), "f2", F.col("id").alias("doc_id"), "n", "local")
     classes = (
         sets.where("n > 0 and doc_id is not null")
@@ -315,11 +438,13 @@ def jaccard_components(
     pairs = led.where("id <> leader").select("id", "leader").distinct()
 
     ids = pairs.select(F.col("id").alias("doc_id")).unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct()
-    texts = stored(_texts_of(rows, ids), "texts")
-    checked = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("ta")), "id").join(
-        texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("tb")), "leader"
+    hashed = _texts_of(rows, ids).mapInArrow(
+        lambda it: _hashed(it, n, num, den), "id long, h binary, sketches binary, size int"
     )
-    links = checked.select("id", "leader", "ta", "tb").mapInArrow(lambda it: _verify(it, n, num, den), "a long, b long")
+    hashed = stored(hashed, "hashed")
+    pairs = _with_both(pairs.withColumnRenamed("leader", "other"), hashed, "sketches", "size")
+    pairs = stored(pairs.mapInArrow(lambda it: _near(it, num, den), "id long, other long"), "near")
+    links = _checked(pairs, hashed, num, den)
 
     # copies that different tasks have combined, and ids with several texts
     spread = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -333,7 +458,7 @@ def jaccard_components(
     links = stored(links.unionByName(same).unionByName(several).distinct(), "links")
     label = components(links)
 
-    more = _remaining(led, texts, label, n, num, den)
+    more = _remaining(led, hashed, label, num, den)
     if more is not None:
         label = components(links.unionByName(more))
     label = stored(label, "label")
@@ -357,7 +482,20 @@ def jaccard_components(
     )
 
 
-def _remaining(led: DataFrame, texts: DataFrame, label: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+def _with_both(pairs: DataFrame, hashed: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (id, other) with columns of both."""
+    one = hashed.select("id", *[F.col(c).alias(f"{c}_1") for c in columns])
+    two = hashed.select(F.col("id").alias("other"), *[F.col(c).alias(f"{c}_2") for c in columns])
+    both = pairs.select("id", "other").join(one, "id").join(two, "other")
+    return both.select("id", "other", *[f"{c}_{i}" for c in columns for i in (1, 2)])
+
+
+def _checked(pairs: DataFrame, hashed: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (id, other) whose whole sets are similar enough."""
+    return _with_both(pairs, hashed, "h").mapInArrow(lambda it: _verify(it, num, den), "a long, b long")
+
+
+def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links among members of a key that are not yet in one component, beyond those with the leader; None if none."""
     own = label.select(F.col("node").alias("id"), F.col("component").alias("label"))
     lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead_label"))
@@ -380,7 +518,23 @@ def _remaining(led: DataFrame, texts: DataFrame, label: DataFrame, n: int, num:
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = rest.where("apart = 1").select("key", deal("us").alias("u"), all_of("vs").alias("v"), "id", "label", F.lit(0).alias("role"))
     right = rest.select("key", all_of("us").alias("u"), deal("vs").alias("v"), "id", "label", F.lit(1).alias("role"))
-    tiles = left.unionByName(right).join(texts.withColumnRenamed("doc_id", "id"), "id")
-    links = tiles.groupBy("key", "u", "v").applyInPandas(lambda pdf: _tile(pdf, n, num, den), "a long, b long")
+    sort = lambda df: df.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+    # first by the short sketches, which clear away nearly all pairs that are no links, then by whole sets
+    tiles = left.unionByName(right).join(hashed, "id").select("key", "u", "v", "id", "label", "role", "size", "sketches")
+    tile = "key long, u int, v int, id long, label long, role int, other long"
+    hope = stored(sort(tiles).mapInArrow(lambda it: _hopeful(it, num, den), tile), "hope")
+    pairs = hope.where("other is not null").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+    links = _checked(pairs.distinct(), hashed, num, den)
+    dense = hope.where("other is null").join(hashed.select("id", "h"), "id").select("key", "u", "v", "id", "label", "role", "h")
+    links = links.unionByName(sort(dense).mapInArrow(lambda it: _tiles(it, num, den), "a long, b long"))
     links = stored(links.distinct(), "more")
     return None if links.isEmpty() else links
+
+
+def drop_near_copies(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: that of the smallest id. Rows with a null id stay."""
+    found = jaccard_components(docs, n, num, den, id_col, text_col)
+    name = "__dropped"
+    dropped = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col(f"`{id_col}`") == F.col(name), "left_anti")
