@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolumna.llm import exact_dedup, html_text, jaccard_join, quality, secrets, sentencepiece_scan, toxicity
+from kolumna.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    language_model,
+    pii,
+    quality,
+    secrets,
+    sentencepiece_scan,
+    toxicity,
+)
 from kolumna.llm.common import table
 
 
@@ -18,10 +29,18 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -38,15 +57,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
         op1_secret_scan,
         op2_quality_classifier,
+        op3_pii_boosting,
         op4_sentencepiece_scan,
+        op5_lm_scoring,
         op6_html_extraction,
         op7_jaccard_join,
         op8_exact_dedup,
         op9_toxicity,
+        op10_decontamination,
     )
     return {f.__name__: f for f in all_of}
 

@@ -148,11 +148,30 @@ def best_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
                     score = best[end - size] + e[size - 1][0][:, end - size]
                     better = score > best[end]
                     best[end][better], back[end][better] = score[better], size
-            for r, i in enumerate(part):
-                out[i] = trace(words[i], back[:, r], e, r, v)
+            for r, (i, ids) in enumerate(zip(part, trace_all(back, length, e, v))):
+                out[i] = ids if ids is not None else trace(words[i], back[:, r], e, r, v)
     return out
 
 
+def trace_all(back: np.ndarray, length: np.ndarray, e: list, v: Vocabulary) -> list[tuple[int, ...] | None]:
+    """The ids on every row's way back, a step for all rows at a time; None where a character has no piece."""
+    n = len(length)
+    row, end, steps, known = np.arange(n), length.astype(np.int64), [], np.ones(n, bool)
+    k_of = np.full((len(e), n, back.shape[0] - 1), -1, np.int64)
+    for size, (_, k) in enumerate(e):
+        k_of[size, :, : k.shape[1]] = k
+    while (live := end > 0).any():
+        size = np.where(live, back[end, row], 1).astype(np.int64)
+        k = k_of[size - 1, row, np.maximum(end - size, 0)]
+        known &= ~live | (k >= 0)
+        steps.append(np.where(live & (k >= 0), v.ids[k], -1))
+        end = np.where(live, end - size, 0)
+    ids = np.stack(steps[::-1], 1)
+    at = np.r_[0, np.cumsum((ids >= 0).sum(1))].tolist()
+    flat = ids[ids >= 0].tolist()
+    return [tuple(flat[a:b]) if ok else None for a, b, ok in zip(at, at[1:], known.tolist())]
+
+
 def trace(word: str, back: np.ndarray, e: list, row: int, v: Vocabulary, end: int | None = None) -> tuple[int, ...]:
     ids: list[int] = []
     end = len(word) if end is None else end
@@ -239,7 +258,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         parts = [self.split(t) for t in texts]
-        new = list({w for p in parts for w in set(p)} - self.known.keys())
+        new = list({w for p in parts for w in p if w not in self.known})
         self.known.update(zip(new, best_words(new, self.v)))
         out = []
         for p in parts:
@@ -250,6 +269,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that words are remembered from task to task."""
+    return Encoder(path)
+
+
 def decode(ids, v: Vocabulary) -> str:
     """The text of ids: pieces joined, byte pieces as UTF-8, marks as blanks, the first of which is dropped."""
     out = bytearray()
@@ -261,12 +286,12 @@ def decode(ids, v: Vocabulary) -> str:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, check: bool) -> Iterator[pa.RecordBatch]:
     """The columns (without the text at ``at`` if check), then ids, n_tokens and, if check, whether decoding gives the text."""
-    encoder = Encoder(path)
+    own = encoder(path)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             texts = [t.decode("utf-8", "replace") for t in part.column(at).to_pylist()]
-            ids = encoder(texts)
+            ids = own(texts)
             size = np.array([len(x) for x in ids], np.int32)
             flat = pa.array(np.fromiter((y for x in ids for y in x), np.int32, int(size.sum())))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), flat)
@@ -274,7 +299,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, check: bool)
             columns = [*(part.column(i) for i in rest), lists, pa.array(size.astype(np.int64))]
             names = [*(batch.schema.names[i] for i in rest), "ids", "n_tokens"]
             if check:
-                columns.append(pa.array([decode(x, encoder.v) == t.replace(SPACE, " ") for x, t in zip(ids, texts)]))
+                columns.append(pa.array([decode(x, own.v) == t.replace(SPACE, " ") for x, t in zip(ids, texts)]))
                 names.append("round_trip")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -124,7 +124,7 @@ class Matcher:
         tokens = set(text.split())
         spaced = _SPACED.findall(text)
         joined = {re.sub(rb"[^a-z]", b"", s) for s in spaced}
-        self.learn((tokens | joined) - self.seen.keys() if len(self.seen) <= REMEMBERED else tokens | joined)
+        self.learn(tokens | joined)
         near = {t for t in tokens | joined if self.seen[t] is not None}
         if not near:
             return np.empty((0, self.table.shape[1]))
