@@ -41,5 +41,6 @@ def on_workers(spark: SparkSession) -> SparkSession:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may hold long texts
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     return spark
