@@ -104,17 +104,22 @@ def pagerank(e: DataFrame, rounds: int = 20, damping: float = 0.85, every: int =
 
 
 def connected(e: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that can be reached, edges taken as undirected; minima spread until none falls."""
+    """(node, component): the smallest node that can be reached, edges taken as undirected.
+
+    Minima spread to neighbours, then every label is replaced by its own label; labels only fall, so an unchanged sum
+    means that none fell.
+    """
     both = cut(undirected(e.select("src", "dst")))
-    label = cut(nodes(e).withColumn("component", F.col("node")))
+    label, total = cut(nodes(e).withColumn("component", F.col("node"))), None
     while True:
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         new = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = cut(new.join(jump, "component").select("node", F.least("component", "up").alias("component")))
-        if new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        label = new
+        label = cut(new.join(jump, "component").select("node", F.least("component", "up").alias("component")))
+        now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return label
+        total = now
 
 
 def degree(e: DataFrame) -> DataFrame:
