@@ -113,9 +113,9 @@ def labelled_rows(
     return body.join(F.broadcast(own), "id")  # its size is bounded by limit
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_LABELLED, text_col: str = "text") -> Model:
     """The model for labels.quality; rows with crc32(doc_id) mod folds = 0 are held out."""
-    rows = labelled_rows(docs, labels, "quality", lambda c: fold(c, folds) == 0, limit)
+    rows = labelled_rows(docs, labels, "quality", lambda c: fold(c, folds) == 0, limit, text_col=text_col)
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PARTS)).cast("int")
     rows = rows.select(F.col("text").cast("binary"), "y", part.alias("part"))
     rows = stored(rows.mapInArrow(_with_features, "x array<double>, y double, part int"), "quality")
@@ -163,10 +163,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, least: fl
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, least: float = 0.3) -> DataFrame:
+def _good(batches: Iterator[pa.RecordBatch], model: Model, at: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, in column ``at``, scores at least ``least``."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in part.column(at).cast(pa.string()).to_pylist()]
+            x = np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), _NAMES)
+            yield part.filter(pa.array(model.score(x) >= least, pa.bool_()))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs without the rows that quality_scores() predicts as 0; columns and rows otherwise unchanged."""
-    model = fit(docs, labels, folds)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), clean_text(F.col("text")).cast("binary").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(lambda it: _score(it, model, 1), f"row {kind}, score double")
-    return scored.where(F.col("score") >= least).select("row.*")
+    model = fit(docs, labels, folds, text_col=text_col)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: _good(it, model, at, least), docs.schema)
