@@ -9,9 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kolumna.semantics import col
 
+MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
+
 
 # lists
 def til(n) -> Column:
@@ -153,12 +156,12 @@ def atob(x) -> Column:
     return F.unbase64(col(x)).cast("string")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gz(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else gzip.compress(v if isinstance(v, bytes) else v.encode(), mtime=0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzip(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else gzip.decompress(v).decode())
 
@@ -168,16 +171,16 @@ def base36(x) -> Column:
 
 
 # small matrices, row by row, as lists of lists
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(MATRIX)
 def mmu(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([(np.stack(x) @ np.stack(y)).tolist() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(MATRIX)
 def inv(a: pd.Series) -> pd.Series:
     return pd.Series([np.linalg.inv(np.stack(x)).tolist() for x in a])
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(MATRIX)
 def lsq(y: pd.Series, a: pd.Series) -> pd.Series:
     return pd.Series([np.linalg.lstsq(np.stack(m).T, np.stack(v).T, rcond=None)[0].T.tolist() for v, m in zip(y, a)])

@@ -263,7 +263,7 @@ def dfs(e: DataFrame, source) -> DataFrame:
     spark = e.sparkSession
     kind = dict(e.dtypes)["src"]
     reach = var_expand(e, spark.createDataFrame([(source,)], f"node {kind}"), 0, 1 << 20).select(F.col("dst").alias("src"))
-    own = e.join(reach, "src", "left_semi").select("src", "dst")
+    own = e.join(reach, "src", "left_semi").select("src", "dst", F.lit(0).alias("whole"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         near = pdf.groupby("src")["dst"].apply(lambda s: sorted(set(s), reverse=True)).to_dict()
@@ -277,7 +277,7 @@ def dfs(e: DataFrame, source) -> DataFrame:
             stack += [(t, d + 1, n) for t in near.get(n, []) if t not in seen]
         return pd.DataFrame(out, columns=["node", "ord", "depth", "parent"]).astype({"parent": "Int64"})
 
-    return own.groupBy(F.lit(0)).applyInPandas(walk, f"node {kind}, ord long, depth long, parent long")
+    return own.groupBy("whole").applyInPandas(walk, f"node {kind}, ord long, depth long, parent long")
 
 
 def k_shortest(e: DataFrame, source, target, k: int) -> list[tuple[float, list]]:
