@@ -120,7 +120,7 @@ def string_classes(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.is_class("p_brand", "alpha").alias("alpha"), T.is_class(F.right("p_brand", F.lit(2)), "digit").alias("digit"), T.is_class(F.get(T.vs(" ", "p_type"), F.lit(0)), "upper").alias("up"))
 
 
-@query("SELECT n_nationkey, list_filter(range(greatest(length(n_name), 1)), i -> substr(n_name, (i + 1)::BIGINT, 1) = 'A') AS at FROM nation")
+@query("SELECT n_nationkey, list_filter(range(greatest(length(n_name), 1)), lambda i: substr(n_name, (i + 1)::BIGINT, 1) = 'A') AS at FROM nation")
 def string_search(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", F.transform(T.ss("n_name", "A"), lambda i: i.cast("long")).alias("at"))
 
@@ -169,7 +169,7 @@ def _lists(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT p_brand, len(l) AS n, l[1] AS head, l[-1] AS tail, coalesce(list_position(l, 7) - 1, len(l)) AS find, list_sum(list_transform(l, x -> x * 2))::BIGINT AS dbl, len(list_filter(l, x -> x > 25)) AS big,"
+    "SELECT p_brand, len(l) AS n, l[1] AS head, l[-1] AS tail, coalesce(list_position(l, 7) - 1, len(l)) AS find, list_sum(list_transform(l, lambda x: x * 2))::BIGINT AS dbl, len(list_filter(l, lambda x: x > 25)) AS big,"
     " l[3] AS third, list_reverse(l)[1] AS rev, len(list_distinct(l)) AS uniq FROM " + BRANDS
 )
 def list_verbs(t: Tables) -> DataFrame:
@@ -181,7 +181,7 @@ def list_verbs(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT p_brand, unnest(list_transform(range(1, len(l) + 1), i -> list_sum(l[1:i])))::BIGINT AS s FROM " + BRANDS)
+@query("SELECT p_brand, unnest(list_transform(range(1, len(l) + 1), lambda i: list_sum(l[1:i])))::BIGINT AS s FROM " + BRANDS)
 def list_scan(t: Tables) -> DataFrame:
     sums = N.scan(lambda a, x: a + x, F.lit(0).cast("long"), "l", "bigint")
     return _lists(t).select("p_brand", F.explode(sums).alias("s"))
@@ -193,13 +193,13 @@ def list_prior(t: Tables) -> DataFrame:
     return _lists(t).select("p_brand", F.explode(N.drop(1, d)).alias("d"))
 
 
-@query("SELECT p_brand, len(l[1:5]) AS a, list_sum(l[6:])::BIGINT AS b, ceil(len(l) / 4.0)::BIGINT AS chunks, l[1 + (7 % len(l))] AS rot FROM " + BRANDS)
+@query("SELECT p_brand, len(l[1:5]) AS a, coalesce(list_sum(l[6:]), 0)::BIGINT AS b, ceil(len(l) / 4.0)::BIGINT AS chunks, l[1 + (7 % len(l))] AS rot FROM " + BRANDS)
 def list_take_drop_cut(t: Tables) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return _lists(t).select("p_brand", F.size(F.slice("l", 1, 5)).cast("long").alias("a"), total(N.drop(5, "l")).alias("b"), F.size(N.cut(4, "l")).cast("long").alias("chunks"), N.index(N.rotate(7, "l"), 0).alias("rot"))
 
 
-@query("SELECT p_brand, len(list_filter(list_sort(l), x -> x <= 20)) - 1 AS bin, len(list_filter(l, x -> x < 20)) AS binr FROM " + BRANDS)
+@query("SELECT p_brand, len(list_filter(list_sort(l), lambda x: x <= 20)) - 1 AS bin, len(list_filter(l, lambda x: x < 20)) AS binr FROM " + BRANDS)
 def list_bin(t: Tables) -> DataFrame:
     s = F.sort_array("l")
     return _lists(t).select("p_brand", N.bin_(s, 20).cast("long").alias("bin"), N.binr(s, 20).cast("long").alias("binr"))
