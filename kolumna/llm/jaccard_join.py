@@ -10,7 +10,7 @@ Candidates
   fullest first, ties by content hash), so that of two partners the one with the higher cut-off names a segment that the
   other has indexed too. In bands where the cost model prefers it (few, thin segments; see ``allocation``), half as many
   segments are indexed with their one-deletion neighbourhoods instead: one of them then differs in at most one n-gram.
-  A set is filed in its own band and, if a larger partner may lie in the next one, in that one too.
+  A set is filed in its own band and in every later one in which a larger partner may lie.
 
 Skew
   Copies (equal sets) are combined in each task before they are filed, and each task sends one row per key. A key's
@@ -42,7 +42,7 @@ WORDS, NUM, DEN = 5, 4, 5
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.5
 #: A task sends its keys off after so many rows.
-FLUSH = 2_000_000
+FLUSH = 500_000
 #: Rows of either side of a tile in which remaining pairs are compared.
 TILE = 256
 SALTS = 16
@@ -134,7 +134,7 @@ def segments(h: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def bands_of(size: int, num: int, den: int) -> set[int]:
-    return {band_of(size), band_of(max(size, size * den // num))}
+    return set(range(band_of(size), band_of(max(size, size * den // num)) + 1))
 
 
 def keys_of(h: np.ndarray, num: int, den: int, documents: int) -> np.ndarray:
