@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,15 @@ from kolumna.llm.quality import labelled_rows
 
 DECAY, STEP, LENGTH, LEAST = 0.5, 3, 24, 4
 #: Tokens below this kernel value for every toxic landmark are far; the value decides no label, only what is looked at.
-NEAR = 0.45
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, POWER, ROUNDS = 96, 96, 3, 2
+NEAR = 0.5
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, POWER, ROUNDS = 96, 64, 3, 2
 MAX_LABELLED, MAX_SENTENCES = 20_000, 6_000
 REMEMBERED = 300_000
+#: Sentences of a training text that are kept, the nearest ones.
+WITNESSES = 6
 FAR_SCORE = -2.0
 _EDGE = b".,;:!?\"'()[]{}<>|*#%&$-_=+~/\\`^"
-_CODE = np.zeros(256, np.int64)
+_CODE = np.zeros(256, np.int32)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:192] = 27 + np.arange(64) % 5  # letters beyond ASCII count by the last byte of their UTF-8 form
 _SPACED = re.compile(rb"(?<![a-z])[a-z](?:[ .*_-]{1,3}[a-z]){3,}(?![a-z])")
@@ -51,15 +54,16 @@ def bare(token: bytes) -> bytes:
 
 def triples(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes (0: none) and weights of the gapped letter triples of each token, as rows."""
-    raw = np.frombuffer(b"".join(t[:LENGTH].ljust(LENGTH, b"\0") for t in tokens), np.uint8).reshape(len(tokens), LENGTH)
+    width = min(LENGTH, max(2 * STEP + 1, *map(len, tokens), 0))
+    raw = np.frombuffer(b"".join(t[:width].ljust(width, b"\0") for t in tokens), np.uint8).reshape(len(tokens), width)
     c = _CODE[raw]
     codes, weights = [], []
     for a in range(1, STEP + 1):
         for b in range(1, STEP + 1):
-            n = LENGTH - a - b
+            n = width - a - b
             x, y, z = c[:, :n], c[:, a : a + n], c[:, a + b :]
-            codes.append(np.where((x > 0) & (y > 0) & (z > 0), x * 1024 + y * 32 + z, 0))
-            weights.append(np.full(n, DECAY ** (a + b + 1)))
+            codes.append((x * 1024 + y * 32 + z) * ((x > 0) & (y > 0) & (z > 0)))
+            weights.append(np.full(n, DECAY ** (a + b + 1), np.float32))
     return np.hstack(codes), np.hstack(weights)
 
 
@@ -88,7 +92,7 @@ def kernel(tokens: list[bytes], table: np.ndarray) -> np.ndarray:
 def nearness(tokens: list[bytes], peak: np.ndarray) -> np.ndarray:
     """An upper bound of a token's kernel with any landmark (peak: the largest weight of each triple)."""
     codes, weights = triples(tokens)
-    w = np.where(codes > 0, weights, 0.0)
+    w = weights * (codes > 0)
     return (w * peak[codes]).sum(1) / np.maximum(np.sqrt((w**2).sum(1)), 1e-9)
 
 
@@ -97,18 +101,16 @@ class Matcher:
 
     def __init__(self, landmarks: list[bytes], toxic: int):
         self.table = table_of(landmarks)
-        self.peak = self.table[:, :toxic].max(1).astype(np.float64)
+        self.peak = self.table[:, :toxic].max(1)
         self.toxic = toxic
         self.seen: dict[bytes, np.ndarray | None] = {}
 
     def learn(self, tokens: set[bytes]) -> None:
         """Remember the kernel vectors of new tokens (None: far)."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
         new = [t for t in tokens if t not in self.seen]
         bares = [bare(t) for t in new]
         self.seen.update(dict.fromkeys(new))
-        long = [i for i, b in enumerate(bares) if len(b) >= LEAST]
+        long = sorted((i for i, b in enumerate(bares) if len(b) >= LEAST), key=lambda i: len(bares[i]))  # alike in width
         for lo in range(0, len(long), 4096):
             part = long[lo : lo + 4096]
             near = nearness([bares[i] for i in part], self.peak) >= NEAR
@@ -118,6 +120,15 @@ class Matcher:
                     if k[: self.toxic].max() >= NEAR**POWER:
                         self.seen[new[i]] = k
 
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """sentences() of each text; the tokens of many texts are learnt together."""
+        for lo in range(0, len(texts), 500):
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            part = texts[lo : lo + 500]
+            self.learn({t for text in part for t in text.lower().split()})
+            yield from map(self.sentences, part)
+
     def sentences(self, text: bytes) -> np.ndarray:
         """A row for each sentence with a near token: the best kernel value of its tokens with each landmark."""
         text = text.lower()
@@ -175,10 +186,13 @@ def _resembling(batches: Iterator[pa.RecordBatch], peak: np.ndarray) -> Iterator
 
 def _vectors(batches: Iterator[pa.RecordBatch], landmarks: list[bytes], toxic: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(landmarks, toxic)
-    kind = pa.list_(pa.list_(pa.float64()))
     for batch in batches:
-        rows = [matcher.sentences(t).tolist() for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, kind), batch.column(1), batch.column(2)], names=["rows", "y", "part"])
+        rows = []
+        for k in matcher.of(batch.column(0).to_pylist()):
+            k = np.unique(k, axis=0)
+            k = k[np.argsort(-k[:, :toxic].max(1), kind="stable")[:WITNESSES]] if len(k) else k
+            rows.append(k.astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], names=["rows", "y", "part"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, limit: int = MAX_LABELLED) -> Model:
@@ -208,10 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, limit: int = MAX_LABELLED)
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # k @ root: the Nyström features
 
-    data = rows.mapInArrow(lambda it: _vectors(it, landmarks, len(toxic)), "rows array<array<double>>, y double, part int")
+    data = rows.mapInArrow(lambda it: _vectors(it, landmarks, len(toxic)), "rows binary, y double, part int")
     data = stored(data, "sentences")
-    some = data.where("part <> 0 and size(rows) > 0").orderBy(F.xxhash64(F.col("rows").cast("string"))).limit(MAX_SENTENCES).collect()
-    texts = [(np.array(r["rows"]), r["y"]) for r in some]
+    some = data.where("part <> 0 and octet_length(rows) > 0").orderBy(F.xxhash64("rows")).limit(MAX_SENTENCES).collect()
+    texts = [(np.frombuffer(r["rows"], np.float32).reshape(-1, len(landmarks)).astype(float), r["y"]) for r in some]
     witness = lambda k: k[:, : len(toxic)].max(1)
     beta, bias = np.r_[np.ones(len(toxic)), np.zeros(len(clean))] / len(toxic), 0.0
     for _ in range(ROUNDS):  # the sentence that bears witness for a toxic text is chosen anew by each fit
@@ -230,17 +244,30 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, limit: int = MAX_LABELLED)
         beta = root @ w
         witness = lambda k, beta=beta: k @ beta
     model = Model(landmarks, len(toxic), beta, bias)
-    rest = data.where("part = 0").select("rows", "y").collect()
-    raw = np.array([model.raw(np.array(r["rows"])) for r in rest])
-    model.knots, model.values = isotonic(raw, np.array([r["y"] for r in rest]))
+    rest = rows.where("part = 0").select("y", "text").mapInArrow(lambda it: _raw(it, model), "y double, raw double").toArrow()
+    model.knots, model.values = isotonic(rest["raw"].to_numpy(), rest["y"].to_numpy())
     return model
 
 
+@lru_cache(maxsize=1)
+def _matcher(landmarks: tuple[bytes, ...], toxic: int) -> Matcher:
+    """One for each worker process, so that tokens are remembered from task to task."""
+    return Matcher(list(landmarks), toxic)
+
+
+def _raw(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """The first column, and the evidence of the texts in the second."""
+    matcher = _matcher(tuple(model.landmarks), model.toxic)
+    for batch in batches:
+        raw = [model.raw(k) for k in matcher.of(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=[batch.schema.names[0], "raw"])
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(model.landmarks, model.toxic) if model.beta is not None else None
+    matcher = _matcher(tuple(model.landmarks), model.toxic) if model.beta is not None else None
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        raw = np.array([model.raw(matcher.sentences(t)) for t in texts]) if matcher else np.zeros(len(texts))
+        raw = np.array([model.raw(k) for k in matcher.of(texts)]) if matcher else np.zeros(len(texts))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(raw), pa.float64())], names=["doc_id", "score"])
 
 
