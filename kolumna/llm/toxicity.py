@@ -30,9 +30,12 @@ from kolumna.llm.models import calibrated, isotonic, linear_svm
 from kolumna.llm.quality import labelled_rows
 
 DECAY, STEP, LENGTH, LEAST = 0.5, 3, 24, 4
-#: Tokens below this kernel value for every toxic landmark are far; the value decides no label, only what is looked at.
-NEAR = 0.5
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, POWER, ROUNDS = 96, 64, 3, 2
+#: Tokens below this kernel value for every toxic landmark are far: the SVM never sees them, and a text with only such
+#: tokens gets FAR_SCORE. A higher value is cheaper and loses insults with inserted characters.
+NEAR = 0.45
+#: Width and step of the windows of tokens over LENGTH; short ones, as a short landmark is not near in a wide window.
+WINDOWS = ((LENGTH, 4), (LENGTH // 2, 4))
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, POWER, ROUNDS = 96, 96, 3, 2
 MAX_LABELLED, MAX_SENTENCES = 20_000, 6_000
 REMEMBERED = 300_000
 #: Sentences of a training text that are kept, the nearest ones.
@@ -49,7 +52,14 @@ _AGAIN = re.compile(rb"(.)\1{2,}")
 
 def bare(token: bytes) -> bytes:
     """A lower-case token without outer punctuation; letters written three times or more count twice."""
-    return _AGAIN.sub(rb"\1\1", token.strip(_EDGE))[:LENGTH]
+    return _AGAIN.sub(rb"\1\1", token.strip(_EDGE))
+
+
+def windows(token: bytes) -> list[bytes]:
+    """The token, or if it is over LENGTH, overlapping windows that cover all of it."""
+    if len(token) <= LENGTH:
+        return [token]
+    return [token[i : i + w] for w, step in WINDOWS for i in range(0, len(token) - w + step, step)]
 
 
 def triples(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,17 +118,18 @@ class Matcher:
     def learn(self, tokens: set[bytes]) -> None:
         """Remember the kernel vectors of new tokens (None: far)."""
         new = [t for t in tokens if t not in self.seen]
-        bares = [bare(t) for t in new]
         self.seen.update(dict.fromkeys(new))
-        long = sorted((i for i, b in enumerate(bares) if len(b) >= LEAST), key=lambda i: len(bares[i]))  # alike in width
-        for lo in range(0, len(long), 4096):
-            part = long[lo : lo + 4096]
-            near = nearness([bares[i] for i in part], self.peak) >= NEAR
-            part = [i for i, k in zip(part, near) if k]
+        pieces = [(p, t) for t in new for p in windows(bare(t)) if len(p) >= LEAST]
+        pieces.sort(key=lambda x: len(x[0]))  # alike in width
+        for lo in range(0, len(pieces), 4096):
+            part = pieces[lo : lo + 4096]
+            near = nearness([p for p, _ in part], self.peak) >= NEAR
+            part = [x for x, k in zip(part, near) if k]
             if part:
-                for i, k in zip(part, kernel([bares[i] for i in part], self.table)):
+                for (_, t), k in zip(part, kernel([p for p, _ in part], self.table)):
                     if k[: self.toxic].max() >= NEAR**POWER:
-                        self.seen[new[i]] = k
+                        old = self.seen[t]
+                        self.seen[t] = k if old is None else np.maximum(old, k)
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """sentences() of each text; the tokens of many texts are learnt together."""
@@ -170,7 +181,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, ys = [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {b for b in map(bare, set(text.lower().split())) if len(b) >= LEAST}
+            own = {b[:LENGTH] for b in map(bare, set(text.lower().split())) if len(b) >= LEAST}  # landmarks: first windows
             words += own
             ys += [y] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ys, pa.float64())], names=["token", "y"])

@@ -209,6 +209,20 @@ def test_toxicity_finds_gapped_insults(spark):
     assert got[400]["predicted"] == 1 and got[401]["predicted"] == 0
 
 
+def test_toxicity_sees_weakly_near_and_long_tokens():
+    m = toxicity.Matcher([b"grumblat", b"stone"], 1)
+    weak = b"grumxblaytzz"
+    value = toxicity.kernel([weak], m.table)[0, 0] ** (1 / toxicity.POWER)
+    assert 0.45 <= value < 0.5 and len(m.sentences(b"the " + weak + b" fell")) == 1
+    spaced = b" ".join(bytes([c]) for c in b"wereallythinkthatthismanisagrumblatindeed")
+    for text in (spaced, b"a" + b"bcdfe" * 9 + b"grumblat", b"grumblat" + b"bcdfe" * 9):
+        assert len(m.sentences(text)) == 1, text
+    assert not len(m.sentences(b"bcdfe" * 20))
+    for n in range(25, 80):
+        token = bytes(i % 250 for i in range(n))
+        assert all(any(token[i : i + 9] in w for w in toxicity.windows(token) if len(w) <= 12) for i in range(n - 8))
+
+
 def test_language_model_base_and_gain(spark):
     rng = random.Random(8)
     texts = EDGE + [prose(rng, rng.randrange(5, 60)) for _ in range(200)]
