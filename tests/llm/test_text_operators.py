@@ -236,6 +236,14 @@ def test_language_model_base_and_gain(spark):
         assert got[i]["base_score"] == pytest.approx(base) and got[i]["score"] < 0
 
 
+def test_language_model_clusters_1500_words(spark):
+    words = [f"w{i:04d}" for i in range(1500)]
+    rows = [(" ".join(words[i:] + words[:i]).encode(),) for i in range(0, 1500, 250)]
+    model, _ = language_model.fit(spark.createDataFrame(rows, "text binary"))
+    assert len(model.unit_class) == 1500 + language_model.RARE + 1
+    assert set(model.word_class[[model.remembered.index(w.encode()) for w in words]]) <= set(range(language_model.CLASSES))
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     pairs = Counter((int(rng.integers(0, 5)) + 5 * (k % 2), int(rng.integers(0, 5)) + 5 * ((k + 1) % 2)) for k in range(5000))
