@@ -1,7 +1,9 @@
 """Benchmark decontamination: q-gram lemma filtering in overlapping diagonal bands, then banded alignment.
 
 Texts are compared as letters and digits in lower case; whatever stands between words counts as one blank. A benchmark
-item is looked for by windows of WINDOW characters that overlap by half (a shorter item is one window). A region within
+item is looked for by windows of WINDOW characters that overlap by half (a shorter item is one window), and if it is over
+SHORT characters by windows of SHORT that start at every SHORT_STEP and at the end, so that each passage of at least
+SHORT + SHORT_STEP - 1 characters holds one. A region within
 k edits of a window of m characters shares at least m - q + 1 - k * q of its q-grams with it (q-gram lemma), and they lie
 on diagonals that differ by at most k. So
 
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from kolumna.llm.common import clean_text
 
-Q, ERRORS, WINDOW, LEAST = 8, 0.08, 128, 32
-BLOCK_CHARS, PIECE = 4_000_000, 1 << 19
+#: Items under Q characters have no q-gram; from Q to 2 * Q - 1 the budget is 0.
+Q, ERRORS, WINDOW, LEAST = 8, 0.08, 128, 8
+SHORT, SHORT_STEP = 64, 16
+BLOCK_CHARS, PIECE = 1_500_000, 1 << 19
 _BITS, _CELLS = 22, 21
 _MULT = 0x9E3779B97F4A7C15
 
@@ -76,6 +80,11 @@ def budget(m: int) -> int:
     return max(0, min(int(ERRORS * m), (m - Q) // Q))
 
 
+def placed(n: int, width: int, step: int) -> list[int]:
+    """Starts of the windows over n characters: every step, and the last place."""
+    return [*range(0, n - width, step), n - width] if n > width else [0]
+
+
 class Index:
     """Windows of a block of items and their q-grams."""
 
@@ -86,10 +95,11 @@ class Index:
             c = c[: len(c) - 1] if len(c) and c[-1] == 32 else c
             if len(c) < LEAST:
                 continue
-            starts = [0] if len(c) <= WINDOW else [*range(0, len(c) - WINDOW, WINDOW // 2), len(c) - WINDOW]
-            for s in starts:
-                self.item.append(item_id)
-                self.chars.append(c[s : s + WINDOW])
+            cut = [c[s : s + WINDOW] for s in placed(len(c), WINDOW, WINDOW // 2)]
+            if len(c) > SHORT:
+                cut += [c[s : s + SHORT] for s in placed(len(c), SHORT, SHORT_STEP)]
+            self.item += [item_id] * len(cut)
+            self.chars += cut
         size = np.array([len(c) for c in self.chars], np.int64)
         self.budget = np.array([budget(m) for m in size], np.int64)
         self.need = size - Q + 1 - self.budget * Q

@@ -334,6 +334,20 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).isEmpty()
 
 
+def test_decontamination_finds_passages_and_short_items(spark):
+    rng = random.Random(22)
+    items = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (400, 120, 20, 9, 5)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    pad = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    parts = [(0, items[0][a : a + 79]) for a in range(0, 322, 7)] + [(0, items[0][33:163]), (1, items[1][10:110])]
+    parts += [(2, items[2]), (2, items[2][:7] + "0" + items[2][8:]), (3, items[3])]
+    texts = [f"{pad} {part} {pad}" for _, part in parts] + [pad, f"{pad} {items[4]}", f"{pad} {items[3][:5]}0{items[3][6:]}"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert got == {(i, item) for i, (item, _) in enumerate(parts)}
+    left = decontaminate.drop_contaminated(docs(spark, texts), bench)
+    assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == [len(parts), len(parts) + 1, len(parts) + 2]
+
+
 def test_small_models():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 3))
