@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots (score, probability) of the non-decreasing least-squares fit of y on x: pool adjacent violators.
 
+    n: how often each observation occurred (default: once).
+
     Each pooled block gives one knot at its mean score; probabilities keep away from 0 and 1 by half an observation.
     Use with np.interp, which interpolates between knots, so that the order of scores survives within blocks' gaps.
     """
@@ -15,8 +17,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.array([0.0]), np.array([0.5])
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []  # weight, sum of y, sum of x
-    for xi, yi in zip(x[order], y[order]):
-        blocks.append([1.0, float(yi), float(xi)])
+    for xi, yi, ni in zip(x[order], y[order], (np.ones(len(x)) if n is None else n)[order]):
+        blocks.append([float(ni), float(ni * yi), float(ni * xi)])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             w, s, t = blocks.pop()
             blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + s, blocks[-1][2] + t]

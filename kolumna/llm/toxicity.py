@@ -4,14 +4,19 @@ Kernel: two tokens are compared by the letter triples that both contain in order
 characters (inserted letters, digits, punctuation); a triple that spans s characters counts DECAY**s, and the value is
 normalised. So "id.iot" and "idxiot" stay close to "idiot". A sentence is compared with a landmark by its best token.
 
+A word's beginning counts as a letter, so "idiotic" is nearer to "idiot" than "fabidiot" is.
+
 Training, on at most MAX_LABELLED labelled rows: landmarks are the tokens most typical of toxic texts and the clean
 tokens that resemble them most; sentences with a token near any landmark are projected on them (Nyström:
-K^-1/2 k); the SVM learns the nearest sentence of each toxic text against every such sentence of clean texts; isotonic
-regression on rows kept out turns the margins of a text's sentences, added up, into a probability.
+K^-1/2 k); the SVM learns the suspicious sentences of toxic texts against those of clean texts (``witnessed``). A first
+isotonic regression turns a sentence's margin into log-odds, which are added up over a text; a second one, on rows kept
+out, turns the sum into a probability.
 
 Scoring reads whole texts; distinct tokens are compared once per task while they are remembered (a bounded memory).
-Null texts count as empty; texts without a near token get the score of such texts. Without labels of both kinds, or
-without typical tokens, every score is the share of label 1, or 0.
+Null and empty texts and texts without a near token get the score of such texts. Without labels of both kinds, or
+without typical tokens, every score is the share of label 1, or 0. Rows are scored one by one, so ids may be null or
+repeated; an id with several labels has their largest; a labelled id with several rows teaches by all of them. Other
+columns, whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,22 +34,27 @@ from kolumna.llm.common import clean_text, fold, stored
 from kolumna.llm.models import calibrated, isotonic, linear_svm
 from kolumna.llm.quality import labelled_rows
 
-DECAY, STEP, LENGTH, LEAST = 0.5, 3, 24, 4
+DECAY, STEP, LENGTH = 0.5, 3, 24
 #: Tokens below this kernel value for every toxic landmark are far: the SVM never sees them, and a text with only such
 #: tokens gets FAR_SCORE. A higher value is cheaper and loses insults with inserted characters.
 NEAR = 0.45
 #: Width and step of the windows of tokens over LENGTH; short ones, as a short landmark is not near in a wide window.
 WINDOWS = ((LENGTH, 4), (LENGTH // 2, 4))
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, POWER, ROUNDS = 96, 96, 3, 2
-MAX_LABELLED, MAX_SENTENCES = 20_000, 6_000
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, POWER, ROUNDS = 128, 96, 3, 4
+#: Bounds of the fit alone: labelled rows; texts whose sentences the SVM sees, and the nearest sentences of each of them.
+MAX_LABELLED, MAX_SENTENCES, WITNESSES = 20_000, 4_000, 8
+#: Margins are counted in bins of 1 / PER_UNIT between -BINS and BINS; a sentence's log-odds stay within EVIDENCE.
+PER_UNIT, BINS, EVIDENCE = 25, 4, (-0.3, 2.5)
 REMEMBERED = 300_000
-#: Sentences of a training text that are kept, the nearest ones.
-WITNESSES = 6
 FAR_SCORE = -2.0
+#: Stands before the first letter of a token, so that triples tell a word's beginning from its middle.
+START = b"^"
 _EDGE = b".,;:!?\"'()[]{}<>|*#%&$-_=+~/\\`^"
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:192] = 27 + np.arange(64) % 5  # letters beyond ASCII count by the last byte of their UTF-8 form
+_CODE[START[0]] = 32
+_BASE = 33
 _SPACED = re.compile(rb"(?<![a-z])[a-z](?:[ .*_-]{1,3}[a-z]){3,}(?![a-z])")
 _BETWEEN = re.compile(rb"[.!?\n|]+\s*(?=\s|$)|\n")
 _AGAIN = re.compile(rb"(.)\1{2,}")
@@ -64,7 +74,7 @@ def windows(token: bytes) -> list[bytes]:
 
 def triples(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes (0: none) and weights of the gapped letter triples of each token, as rows."""
-    width = min(LENGTH, max(2 * STEP + 1, *map(len, tokens), 0))
+    width = min(LENGTH + 1, max(2 * STEP + 1, *map(len, tokens), 0))
     raw = np.frombuffer(b"".join(t[:width].ljust(width, b"\0") for t in tokens), np.uint8).reshape(len(tokens), width)
     c = _CODE[raw]
     codes, weights = [], []
@@ -72,104 +82,138 @@ def triples(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for b in range(1, STEP + 1):
             n = width - a - b
             x, y, z = c[:, :n], c[:, a : a + n], c[:, a + b :]
-            codes.append((x * 1024 + y * 32 + z) * ((x > 0) & (y > 0) & (z > 0)))
+            codes.append((x * _BASE**2 + y * _BASE + z) * ((x > 0) & (y > 0) & (z > 0)))
             weights.append(np.full(n, DECAY ** (a + b + 1), np.float32))
     return np.hstack(codes), np.hstack(weights)
 
 
+def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The length of each row's vector of triples; a triple that occurs again adds up."""
+    row, at = np.nonzero(codes)
+    triple, inverse = np.unique(row * _BASE**3 + codes[row, at], return_inverse=True)
+    total = np.bincount(inverse, weights[at], len(triple))
+    return np.maximum(np.sqrt(np.bincount(triple // _BASE**3, total**2, len(codes))), 1e-9)
+
+
 def table_of(landmarks: list[bytes]) -> np.ndarray:
-    """Normalised triple weights of each landmark: (32768, landmarks)."""
-    out = np.zeros((32768, len(landmarks)), np.float32)
+    """Normalised triple weights of each landmark: (triples, landmarks)."""
+    out = np.zeros((_BASE**3, len(landmarks)), np.float32)
     codes, weights = triples(landmarks)
     for j, row in enumerate(codes):
         np.add.at(out[:, j], row[row > 0], weights[row > 0])
     return out / np.maximum(np.sqrt((out**2).sum(0)), 1e-9)
 
 
+def _added(codes: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each row of triples, the weighted sum of their rows of the table."""
+    out = np.zeros((len(codes), *table.shape[1:]), np.float32)
+    for column, w in zip(codes.T, weights):
+        out += w * table[column]
+    return out
+
+
 def kernel(tokens: list[bytes], table: np.ndarray) -> np.ndarray:
     """Normalised kernel of each token with each landmark, to the POWER (a product of kernels is one; near counts more)."""
     out = np.zeros((len(tokens), table.shape[1]))
-    codes, weights = triples(tokens)
-    for i, row in enumerate(codes):
-        own = row > 0
-        code, at = np.unique(row[own], return_inverse=True)
-        if len(code):
-            phi = np.bincount(at, weights[own])
-            out[i] = phi @ table[code] / np.sqrt((phi**2).sum())
+    for lo in range(0, len(tokens), 256):
+        codes, weights = triples(tokens[lo : lo + 256])
+        out[lo : lo + 256] = _added(codes, weights, table) / _norms(codes, weights)[:, None]
     return out**POWER
 
 
-def nearness(tokens: list[bytes], peak: np.ndarray) -> np.ndarray:
-    """An upper bound of a token's kernel with any landmark (peak: the largest weight of each triple)."""
+def nearness(tokens: list[bytes], peaks: np.ndarray) -> np.ndarray:
+    """An upper bound of a token's kernel with any landmark (peaks: the largest weights of each triple, by group)."""
     codes, weights = triples(tokens)
-    w = weights * (codes > 0)
-    return (w * peak[codes]).sum(1) / np.maximum(np.sqrt((w**2).sum(1)), 1e-9)
+    length = np.maximum(np.sqrt((weights**2 * (codes > 0)).sum(1)), 1e-9)
+    return (_added(codes, weights, peaks).max(1) / length).astype(np.float64)
+
+
+def peaks_of(table: np.ndarray, landmarks: list[bytes], size: int = 8) -> np.ndarray:
+    """The largest weight of each triple among landmarks that stand together in the alphabet, a column for each group."""
+    order = sorted(range(len(landmarks)), key=landmarks.__getitem__)
+    return np.stack([table[:, order[i : i + size]].max(1) for i in range(0, len(order), size)], 1)
 
 
 class Matcher:
-    """Finds the sentences of a text that hold a token near a toxic landmark, as kernel vectors."""
+    """Finds the sentences of a text that hold a token near a toxic landmark, as kernel vectors.
+
+    Landmarks that begin with START are compared with the beginnings of tokens too.
+    """
 
     def __init__(self, landmarks: list[bytes], toxic: int):
         self.table = table_of(landmarks)
-        self.peak = self.table[:, :toxic].max(1)
+        self.peaks = peaks_of(self.table, landmarks[:toxic])
+        self.peak = self.peaks.max(1, keepdims=True)
         self.toxic = toxic
-        self.seen: dict[bytes, np.ndarray | None] = {}
+        self.start = START if any(m.startswith(START) for m in landmarks) else b""
+        self.seen: set[bytes] = set()
+        self.near: dict[bytes, np.ndarray] = {}
 
     def learn(self, tokens: set[bytes]) -> None:
-        """Remember the kernel vectors of new tokens (None: far)."""
-        new = [t for t in tokens if t not in self.seen]
-        self.seen.update(dict.fromkeys(new))
-        pieces = [(p, t) for t in new for p in windows(bare(t)) if len(p) >= LEAST]
+        """Remember the kernel vectors of those new tokens that are near."""
+        new = tokens - self.seen
+        self.seen |= new
+        pieces = []
+        for t in new:
+            b = bare(t)
+            if len(b) <= LENGTH:
+                pieces.append((self.start + b, t))
+            else:
+                pieces += [((b"" if i else self.start) + p, t) for i, p in enumerate(windows(b))]
         pieces.sort(key=lambda x: len(x[0]))  # alike in width
         for lo in range(0, len(pieces), 4096):
             part = pieces[lo : lo + 4096]
-            near = nearness([p for p, _ in part], self.peak) >= NEAR
-            part = [x for x, k in zip(part, near) if k]
+            for bound in (self.peak, self.peaks):  # a cheap bound first
+                part = [x for x, k in zip(part, nearness([p for p, _ in part], bound)) if k >= NEAR] if part else []
             if part:
                 for (_, t), k in zip(part, kernel([p for p, _ in part], self.table)):
                     if k[: self.toxic].max() >= NEAR**POWER:
-                        old = self.seen[t]
-                        self.seen[t] = k if old is None else np.maximum(old, k)
+                        old = self.near.get(t)
+                        self.near[t] = k if old is None else np.maximum(old, k)
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """sentences() of each text; the tokens of many texts are learnt together."""
         for lo in range(0, len(texts), 500):
             if len(self.seen) > REMEMBERED:
-                self.seen.clear()
-            part = texts[lo : lo + 500]
-            self.learn({t for text in part for t in text.lower().split()})
-            yield from map(self.sentences, part)
+                self.seen.clear(), self.near.clear()
+            part = [t.lower() for t in texts[lo : lo + 500]]
+            own = [(set(t.split()), spelt(t)) for t in part]
+            self.learn(set().union(*(a | b for a, b in own)))
+            yield from (self._rows(t, a, b) for t, (a, b) in zip(part, own))
 
     def sentences(self, text: bytes) -> np.ndarray:
-        """A row for each sentence with a near token: the best kernel value of its tokens with each landmark."""
-        text = text.lower()
-        tokens = set(text.split())
-        spaced = _SPACED.findall(text)
-        joined = {re.sub(rb"[^a-z]", b"", s) for s in spaced}
-        self.learn(tokens | joined)
-        near = {t for t in tokens | joined if self.seen[t] is not None}
-        if not near:
-            return np.empty((0, self.table.shape[1]))
-        rows = []
-        for sentence in _BETWEEN.split(text):
-            own = near.intersection(sentence.split())
-            if own:
-                rows.append(np.max([self.seen[t] for t in own], 0))
-        rows += [self.seen[t] for t in joined & near]
+        """A row for each different sentence with a near token: the best kernel value of its tokens with each landmark."""
+        return next(self.of([text]))
+
+    def _rows(self, text: bytes, tokens: set[bytes], joined: set[bytes]) -> np.ndarray:
+        near = {t for t in tokens | joined if t in self.near}
+        alike = {frozenset((t,)) for t in joined & near}  # sentences with the same near tokens count once
+        if near:
+            alike |= {frozenset(near.intersection(sentence.split())) for sentence in _BETWEEN.split(text)}
+        rows = [np.max([self.near[t] for t in own], 0) for own in sorted(alike, key=sorted) if own]
         return np.array(rows) if rows else np.empty((0, self.table.shape[1]))
 
 
+def spelt(text: bytes) -> set[bytes]:
+    """Words whose letters are written apart, joined."""
+    return {re.sub(rb"[^a-z]", b"", s) for s in _SPACED.findall(text)}
+
+
 class Model:
+    """Landmarks, the weights of their kernel values, a sentence's log-odds by its margin, and the calibration of texts."""
+
     def __init__(self, landmarks=(), toxic=0, beta=None, bias=0.0, knots=(0.0,), values=(0.0,)):
         self.landmarks, self.toxic, self.beta, self.bias = list(landmarks), toxic, beta, bias
+        self.odds = (np.array([0.0]), np.array([0.0]))
         self.knots, self.values = np.array(knots), np.array(values)
 
+    def margins(self, rows: np.ndarray) -> np.ndarray:
+        """The SVM's margins of a text's sentences."""
+        return rows @ self.beta + self.bias
+
     def raw(self, rows: np.ndarray) -> float:
-        """A text's evidence: the clipped positive margins of its sentences, added up; below 0, the highest margin."""
-        if not len(rows):
-            return FAR_SCORE
-        f = np.unique(rows, axis=0) @ self.beta + self.bias
-        return float(np.clip(f, 0, 1.5).sum()) if f.max() > 0 else max(float(f.max()), FAR_SCORE)
+        """A text's evidence: the log-odds of its sentences, each within bounds, added up."""
+        return float(np.interp(self.margins(rows), *self.odds).sum()) if len(rows) else FAR_SCORE
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         if self.beta is None:
@@ -181,16 +225,16 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, ys = [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {b[:LENGTH] for b in map(bare, set(text.lower().split())) if len(b) >= LEAST}  # landmarks: first windows
+            own = {START + b[:LENGTH] for b in map(bare, set(text.lower().split())) if b}  # landmarks: first windows
             words += own
             ys += [y] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ys, pa.float64())], names=["token", "y"])
 
 
-def _resembling(batches: Iterator[pa.RecordBatch], peak: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _resembling(batches: Iterator[pa.RecordBatch], peaks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = batch.column(0).to_pylist()
-        near = np.concatenate([nearness(tokens[i : i + 4096], peak) for i in range(0, len(tokens), 4096)] or [np.empty(0)])
+        near = np.concatenate([nearness(tokens[i : i + 4096], peaks) for i in range(0, len(tokens), 4096)] or [np.empty(0)])
         mask = pa.array(near >= NEAR, pa.bool_())
         yield pa.RecordBatch.from_arrays([*(c.filter(mask) for c in batch.columns), pa.array(near).filter(mask)], names=["token", "n", "near"])
 
@@ -200,7 +244,6 @@ def _vectors(batches: Iterator[pa.RecordBatch], landmarks: list[bytes], toxic: i
     for batch in batches:
         rows = []
         for k in matcher.of(batch.column(0).to_pylist()):
-            k = np.unique(k, axis=0)
             k = k[np.argsort(-k[:, :toxic].max(1), kind="stable")[:WITNESSES]] if len(k) else k
             rows.append(k.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], names=["rows", "y", "part"])
@@ -222,12 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, limit: int = MAX_LABELLED)
     toxic = [bytes(r["token"]) for r in typical.limit(TOXIC_LANDMARKS).collect()]
     if not toxic:
         return Model(values=(n1 / (n1 + n0),))
-    peak = table_of(toxic).max(1).astype(np.float64)
+    peaks = peaks_of(table_of(toxic), toxic)
     like = seen.where((odds < 0.5) & (F.col("n") > 2)).select("token", "n")
-    like = like.mapInArrow(lambda it: _resembling(it, peak), "token binary, n long, near double")
+    like = like.mapInArrow(lambda it: _resembling(it, peaks), "token binary, n long, near double")
     clean = like.orderBy(F.desc(F.col("near") * F.log1p("n")), "token").limit(CLEAN_LANDMARKS)
-    clean = [bytes(r["token"]) for r in clean.collect()]
-    landmarks = toxic + clean
+    landmarks = toxic + [bytes(r["token"]) for r in clean.collect()]
     gram = kernel(landmarks, table_of(landmarks))
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = values > 1e-6
@@ -237,27 +279,60 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, limit: int = MAX_LABELLED)
     data = stored(data, "sentences")
     some = data.where("part <> 0 and octet_length(rows) > 0").orderBy(F.xxhash64("rows")).limit(MAX_SENTENCES).collect()
     texts = [(np.frombuffer(r["rows"], np.float32).reshape(-1, len(landmarks)).astype(float), r["y"]) for r in some]
-    witness = lambda k: k[:, : len(toxic)].max(1)
-    beta, bias = np.r_[np.ones(len(toxic)), np.zeros(len(clean))] / len(toxic), 0.0
-    for _ in range(ROUNDS):  # the sentence that bears witness for a toxic text is chosen anew by each fit
+    model = Model(landmarks, len(toxic), *witnessed(texts, root, len(toxic)))
+    learn = rows.where("part <> 0").select("y", "text").mapInArrow(lambda it: _margins(it, model), "bin int, y double, n long")
+    bins = learn.groupBy("bin", "y").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BINS rows
+    model.odds = log_odds(bins["bin"].to_numpy() / PER_UNIT, bins["y"].to_numpy(), bins["n"].to_numpy(np.float64))
+    rest = rows.where("part = 0").select("y", "text").mapInArrow(lambda it: _raw(it, model), "y double, raw double").toArrow()
+    model.knots, model.values = isotonic(rest["raw"].to_numpy(), rest["y"].to_numpy())
+    return model
+
+
+def witnessed(texts: list[tuple[np.ndarray, float]], root: np.ndarray, toxic: int) -> tuple[np.ndarray, float]:
+    """Weights of the kernel values and the bias: SVMs on sentences, of which those of toxic texts are chosen anew.
+
+    Not every sentence of a toxic text is toxic: each round learns from its sentences that the round before puts on the
+    toxic side (one at least), against the four most suspicious ones of each clean text.
+    """
+    beta, bias = np.r_[np.ones(toxic), np.zeros(len(root) - toxic)] / toxic, 0.0
+    margin = lambda k: k[:, :toxic].max(1) - 0.75
+    for _ in range(ROUNDS):
         x, y = [], []
-        for k, toxic_text in texts:
-            if toxic_text:
-                x.append(k[witness(k).argmax()])
-                y.append(1.0)
-            else:
-                x += list(k[np.argsort(-witness(k), kind="stable")[:4]])
-                y += [-1.0] * min(len(k), 4)
-        y = np.array(y)
+        for k, is_toxic in texts:
+            f = margin(k)
+            best = np.argsort(-f, kind="stable")
+            own = best[: max(1, int((f > 0).sum()))] if is_toxic else best[:4]
+            x.append(k[own])
+            y.append(np.full(len(own), 1.0 if is_toxic else -1.0))
+        y = np.concatenate(y) if y else np.empty(0)
         if not len(y) or y.min() == y.max():
             break
-        w, bias = linear_svm(np.array(x) @ root, y, c=10.0)
+        w, bias = linear_svm(np.concatenate(x) @ root, y, c=10.0, epochs=15)
         beta = root @ w
-        witness = lambda k, beta=beta: k @ beta
-    model = Model(landmarks, len(toxic), beta, bias)
-    rest = rows.where("part = 0").select("y", "text").mapInArrow(lambda it: _raw(it, model), "y double, raw double").toArrow()
-    model.knots, model.values = isotonic(rest["raw"].to_numpy(), rest["y"].to_numpy())
-    return model
+        margin = lambda k, beta=beta, bias=bias: k @ beta + bias
+    return beta, bias
+
+
+def log_odds(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By isotonic regression, the log-odds against the mean that a sentence of margin x is of a toxic text, as knots."""
+    total = n.sum()
+    if not total or not 0 < (n * y).sum() < total:
+        return np.array([0.0]), np.array([0.0])
+    knots, p = isotonic(x, y, n)
+    p, mean = np.clip(p, 1e-3, 1 - 1e-3), (n * y).sum() / total
+    return knots, np.clip(np.log(p / (1 - p)) - np.log(mean / (1 - mean)), *EVIDENCE)
+
+
+def _margins(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """How many sentences have a margin within each bin, by the label of their texts."""
+    matcher = _matcher(tuple(model.landmarks), model.toxic)
+    for batch in batches:
+        ys = batch.column(0).to_pylist()
+        own = [(model.margins(k), y) for k, y in zip(matcher.of(batch.column(1).to_pylist()), ys) if len(k)]
+        for label in set(ys):
+            f = np.concatenate([np.empty(0), *(f for f, y in own if y == label)])
+            bins, n = np.unique(np.rint(np.clip(f, -BINS, BINS) * PER_UNIT).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(np.full(len(bins), label)), pa.array(n.astype(np.int64))], names=["bin", "y", "n"])
 
 
 @lru_cache(maxsize=1)
