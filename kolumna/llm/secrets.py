@@ -5,14 +5,18 @@ are the offsets (code points). Running sums go block by block, so that a text of
 
 Entropy: every candidate (a long unbroken string of key characters) is classed by its alphabet (hex, or base64 with
 letters and digits). A window of ``width`` characters slides over it; counts per character change by one entering and
-one leaving character, and the sum of n*log2(n) changes by four table look-ups, so a step costs the same for any width.
+one leaving character, and the sum of n*log2(n) changes by four table look-ups. The counts are the
+characters of a short string, so a step costs the same for any width and rebuilds no array.
 A candidate whose highest window entropy reaches its class's bound is a secret, unless the allow-list suppresses it.
 
-Nulls count as the empty text, which has no spans. Other columns are not looked at. Rows are independent of each other.
+Nulls count as the empty text, which has no spans. Other columns, whatever their names, are not looked at. Rows are
+independent of each other, so ids may be null or repeated; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,29 +36,35 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]?(?:key|token|secret)|x{6,}",
-    r"^(.{1,8})\1+$",
-    r"^[0-9/_-]+$",
-    r"^(?:[A-Za-z]{2,}[_/-])+[A-Za-z]{2,}$",
+    r"^(.{1,8})\1++$",
+    r"^[0-9/_-]++$",
+    r"^(?:[A-Za-z]{2,}+[_/-])++[A-Za-z]{2,}+$",
 )
 WIDTH, HEX_BITS, BASE64_BITS = 20, 3.0, 3.6
 BLOCK = 256
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), where value is computed once however often (or in whatever lambda) it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """array<struct<start,kind,end>> of the pattern's leftmost non-overlapping matches for which keep(match) holds."""
-    pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(matches)),
+    pairs = _with(
         matches,
-        lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), keep(m).alias("ok")),
+        lambda found: F.zip_with(
+            F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)),
+            found,
+            lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), keep(m).alias("ok")),
+        ),
     )
-    blocks = F.transform(
-        F.sequence(F.lit(0), (F.size(pairs) / BLOCK).cast("int")),
-        lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)),
+    in_blocks = lambda pairs: F.transform(
+        F.sequence(F.lit(0), (F.size(pairs) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK))
     )
     total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x["gap"] + x["len"])
-    start_of = F.aggregate(
+    starts = lambda blocks: F.aggregate(
         F.transform(blocks, total),
         F.array(F.lit(0)),
         lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
@@ -71,7 +81,8 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
 
         return F.aggregate(block, empty, step, lambda acc: acc["out"])
 
-    return F.flatten(F.zip_with(blocks, F.slice(start_of, F.lit(1), F.size(blocks)), run))
+    whole = lambda blocks: F.flatten(F.zip_with(blocks, F.slice(starts(blocks), F.lit(1), F.size(blocks)), run))
+    return _with(pairs, lambda pairs: _with(in_blocks(pairs), whole))
 
 
 def _found(text: Column, pattern: str, kind: int, keep) -> Column:
@@ -84,39 +95,44 @@ def max_window_entropy(word: Column, width: int = WIDTH, alphabet: str = ALPHABE
     """The highest Shannon entropy (bits) of the characters of any ``width`` consecutive characters of word.
 
     Counts start from the first window; each step lets one character in and one out and changes the sum of n*log2(n)
-    by the two counts concerned. Words shorter than the width count as one window.
+    by the two counts concerned. Characters outside the alphabet count as one. Words shorter than the width count as
+    one window.
     """
-    size = len(alphabet)
-    index = F.transform(F.split(word, ""), lambda c: F.position(c, F.lit(alphabet)))  # 1-based, 0: none
-    width_here = F.least(F.length(word), F.lit(width))
-    nlogn = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    first = F.transform(
-        F.sequence(F.lit(1), F.lit(size)), lambda s: F.size(F.filter(F.slice(index, F.lit(1), width_here), lambda i: i == s))
-    )
-    start_sum = F.aggregate(F.transform(first, nlogn), F.lit(0.0), lambda a, x: a + x)
-    start = F.struct(first.alias("counts"), start_sum.alias("sum"), start_sum.alias("least"))
-    steps = F.zip_with(
-        F.slice(index, width_here + 1, F.greatest(F.length(word) - width_here, F.lit(0))),
-        F.slice(index, F.lit(1), F.greatest(F.length(word) - width_here, F.lit(0))),
-        lambda come, go: F.struct(come.alias("come"), go.alias("go")),
-    )
-    change = lambda counts, at, by: F.concat(
-        F.slice(counts, F.lit(1), at - 1), F.array(F.element_at(counts, at) + by), F.slice(counts, at + 1, F.lit(size) - at)
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        n_in, n_out = F.element_at(acc["counts"], x["come"]), F.element_at(acc["counts"], x["go"])
-        moved = acc["sum"] + nlogn(n_in + 1) - nlogn(n_in) + nlogn(n_out - 1) - nlogn(n_out)
-        new = F.struct(
-            change(change(acc["counts"], x["come"], F.lit(1)), x["go"], F.lit(-1)).alias("counts"),
-            moved.alias("sum"),
-            F.least(acc["least"], moved).alias("least"),
+    size, zero = len(alphabet) + 1, 65  # a count n is kept as the character zero + n
+    place = lambda c: _with(F.position(c, F.lit(alphabet)), lambda i: F.when(i > 0, i).otherwise(F.lit(size)))
+    nlogn = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)])
+    f = lambda n: F.element_at(nlogn, n + 1)
+    count = lambda acc, at: F.ascii(acc["counts"].substr(at, F.lit(1))) - zero
+
+    def changed(acc: Column, x: Column, n_in: Column, n_out: Column) -> Column:
+        moved = acc["sum"] + f(n_in + 1) - f(n_in) + f(n_out - 1) - f(n_out)
+        now = F.overlay(F.overlay(acc["counts"], F.char(n_in + zero + 1), x["come"], F.lit(1)), F.char(n_out + zero - 1), x["go"], F.lit(1))
+        return _with(moved, lambda m: F.struct(now.alias("counts"), m.alias("sum"), F.least(acc["least"], m).alias("least")))
+
+    step = lambda acc, x: _with(count(acc, x["come"]), lambda i: _with(count(acc, x["go"]), lambda o: changed(acc, x, i, o)))
+
+    def highest(index: Column) -> Column:
+        width_here = F.least(F.size(index), F.lit(width))
+        rest = F.size(index) - width_here
+        first = _with(
+            F.slice(index, F.lit(1), width_here),
+            lambda window: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda s: F.size(F.filter(window, lambda i: i == s))),
+        )
+        steps = F.zip_with(
+            F.slice(index, width_here + 1, rest), F.slice(index, F.lit(1), rest), lambda come, go: F.struct(come.alias("come"), go.alias("go"))
         )
-        return F.when(x["come"] == x["go"], acc).otherwise(new)
+        steps = F.filter(steps, lambda x: x["come"] != x["go"])  # the others change nothing
+
+        def all_steps(first: Column) -> Column:
+            counts = F.array_join(F.transform(first, lambda n: F.char(n + zero)), "")
+            total = F.aggregate(F.transform(first, f), F.lit(0.0), lambda a, x: a + x)
+            start = F.struct(counts.alias("counts"), total.alias("sum"), total.alias("least"))
+            return F.aggregate(steps, start, step, lambda acc: acc["least"])
+
+        n = width_here.cast("double")
+        return F.log2(n) - _with(first, all_steps) / n
 
-    least = F.aggregate(steps, start, step, lambda acc: acc["least"])
-    n = width_here.cast("double")
-    return F.when(F.length(word) == 0, F.lit(0.0)).otherwise(F.log2(n) - least / n)
+    return F.when(F.length(word) == 0, F.lit(0.0)).otherwise(_with(F.transform(F.split(word, ""), place), highest))
 
 
 def is_secret(word: Column, width: int = WIDTH, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS) -> Column:
