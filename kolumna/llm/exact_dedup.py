@@ -8,15 +8,19 @@ groups by the digest AND the whole normalised text, so a digest collision can ne
    is spread over ``salts`` reducers;
 3. the salt winners, at most ``salts`` per text, meet by digest.
 
-Groups of one need nothing more. The decisions of larger groups return to the rows by a salted join on the digest.
+Groups of one need nothing more. The decisions of larger groups return to the rows by a salted join on the digest. What
+travels for that has no texts: digests and ids. drop_exact() sends each whole row once, to meet the ids that go.
+
+Rows: an empty table gives an empty result. Ids may be null (smaller than all others) or repeated. Columns other than
+the two named may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kolumna.llm.common import ascii_lower, clean_text
+from kolumna.llm.common import ascii_lower, clean_text, stored
 
 SALTS = 16
 
@@ -47,47 +51,63 @@ def _winners(rows: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, carry: bool = False
-) -> DataFrame:
-    """Every row with its group: doc_id, keep_id, group_size, kept, text_sha256 (and, with carry, row: the whole row).
+def _digests(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """doc_id, norm, digest and check of every row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), ascii_lower(clean_text(F.col(f"`{text_col}`"))).alias("norm"), *more)
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    return rows.withColumn("check", F.xxhash64("norm"))
+
+
+def _salt(salts: int) -> Column:
+    """Deals rows out by id and task, so that rows of one null or repeated id part too; the same when a task runs again."""
+    return F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts)).cast("int")
+
+
+def _at_every_salt(df: DataFrame, salts: int) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """Every row with its group: doc_id, keep_id, group_size, kept, text_sha256.
 
     keep_id is the largest doc_id of the group (null ids are smaller than all others; a group of null ids has keep_id
     null). kept is true where doc_id equals keep_id, null-safely, so repeated rows of the kept id are all marked; see
-    drop_exact. An empty table gives an empty result; columns other than the two named are not looked at.
+    drop_exact.
     """
-    text = clean_text(F.col(text_col))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        ascii_lower(text).alias("norm"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
-    )
-    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    rows = rows.withColumn("check", F.xxhash64("norm"))
-    groups = _winners(rows.select("doc_id", "norm", "digest", "check"), salts)
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)).cast("int")).drop("norm")
-    l, r = left.alias("l"), spread.alias("r")
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("digest", "check", "salt")]
-    joined = l.join(r, on, "left")
+    rows = _digests(docs, id_col, text_col)
+    l = rows.withColumn("salt", _salt(salts)).drop("norm").alias("l")
+    r = _at_every_salt(_winners(rows, salts), salts).alias("r")
+    joined = l.join(r, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("digest", "check", "salt")], "left")
     return joined.select(
         F.col("l.doc_id").alias("doc_id"),
         F.when(F.col("r.digest").isNull(), F.col("l.doc_id")).otherwise(F.col("r.keep_id")).alias("keep_id"),
         F.coalesce(F.col("r.group_size"), F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("r.digest").isNull(), F.lit(True)).otherwise(F.col("l.doc_id").eqNullSafe(F.col("r.keep_id"))).alias("kept"),
         F.lower(F.hex("l.digest")).alias("text_sha256"),
-        *([F.col("l.row").alias("row")] if carry else []),
     )
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """docs with one row of each group of equal texts: that of the largest id, and one of its repeated rows."""
-    groups = exact_groups(docs, id_col, text_col, salts, carry=True).filter("kept")
-    alone = groups.filter("group_size = 1").select("row")
-    shared = (
-        groups.filter("group_size > 1")
-        .groupBy("text_sha256", "doc_id")
-        .agg(F.max_by("row", F.xxhash64("row")).alias("row"))
-        .select("row")
-    )
-    return alone.unionByName(shared).select("row.*")
+    """docs with one row of each group of equal texts: that of the largest id, and one of its repeated rows.
+
+    The groups are found without whole rows; what goes, and what is there several times, is few (id, digest) pairs. Every
+    row is sent once, to meet those pairs. Repeated rows of a kept id, where there are any, meet among themselves.
+    """
+    groups = exact_groups(docs, id_col, text_col, salts).where("group_size > 1")
+    pairs = groups.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again"))
+    pairs = stored(pairs.where("again or not kept"), "exact")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _digests(docs, id_col, text_col, whole).select("row", "doc_id", F.lower(F.hex("digest")).alias("text_sha256"))
+    l = rows.withColumn("salt", _salt(salts)).alias("l")
+
+    def meeting(some: DataFrame, how: str) -> DataFrame:
+        r = _at_every_salt(some.select("doc_id", "text_sha256"), salts).alias("r")
+        same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
+        return l.join(r, same & (F.col("l.text_sha256") == F.col("r.text_sha256")) & (F.col("l.salt") == F.col("r.salt")), how)
+
+    out = meeting(pairs, "left_anti").select("row.*")
+    several = pairs.where("kept")
+    if several.isEmpty():
+        return out
+    one = meeting(several, "left_semi").groupBy("doc_id", "text_sha256").agg(F.max_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.select("row.*"))
