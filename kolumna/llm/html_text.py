@@ -1,15 +1,21 @@
-"""Main text of web pages: structural rules plus removal of site templates found by counting subtrees per host.
-
-1. Every element outside running text is hashed as a whole subtree (tags, classes and text). Spark counts, per host, the
-   pages on which each hash occurs; hosts of very many pages are counted by partial sums, never gathered.
-2. A subtree on at least MIN_PAGES pages and MIN_SHARE of a host's pages is template. Inside the article only containers
-   that hold no running text of their own can be template (see ``CONTAINERS``): an article that a site publishes on many
-   pages stays whole.
-3. The text is that of the article (article or main element; without one, the body) without template subtrees, menus,
-   headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+"""Main text of web pages: site templates found by counting subtrees per host, plus structural rules.
+
+1. Every element is hashed as a whole subtree (tags, classes and text). Spark counts, per host, the pages on which each
+   hash occurs; hosts of very many pages are counted by partial sums, never gathered.
+2. A subtree on at least MIN_PAGES pages is template if those are MIN_SHARE of a host's pages, be it a menu, a footer, a
+   notice or a box without a telling name. Of what holds running text of its own (it might be an article published
+   several times) they must be RUNNING_SHARE. Inside the article only containers without running text can be template
+   (see ``CONTAINERS``), at RUNNING_SHARE too.
+3. Template subtrees are deleted. What is left of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+   styles and reader comments (on hosts of few pages, or different on each page) goes by tag and name (``left_out``).
+4. The text is that of the article (article or main element; without one, the body).
 
 Blocks are joined by line feeds in page order; white space inside a block becomes one space; character references are
-decoded. Null html gives the empty text. A null or unparsable url is a host of its own (the empty one).
+decoded. A tag whose quotes do not close makes quotes ordinary characters for the rest of its page.
+
+Null html gives the empty text. A null or unparsable url is a host of its own (the empty one). Page ids may be null or
+repeated: every row counts as a page and is extracted on its own. Other columns, whatever their names, are not looked at.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kolumna.llm.common import clean_text, stored
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
+MIN_PAGES, MIN_SHARE, RUNNING_SHARE = 5, 0.01, 0.1
 #: Template hashes and hosts that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_HASHES, SALTS = 200_000, 16
 # Fixed values of the HTML standard: elements without end tags, elements whose content is not markup, block elements.
@@ -47,34 +53,71 @@ PARTS = frozenset(
     " comment comments reply replies respond disqus discussion share sharing social related recommended".split()
 )
 CLOSES_P = BLOCK - {"body", "html"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "items", "digest")
+    __slots__ = ("tag", "names", "items", "digest", "running")
 
     def __init__(self, tag: str, names: tuple[str, ...] = ()):
-        self.tag, self.names, self.items, self.digest = tag, names, [], 0
+        self.tag, self.names, self.items, self.digest, self.running = tag, names, [], 0, False
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, name of an end tag, name of a start tag, its attributes) of each tag, comment and declaration."""
+    at, last, quotes = 0, html.rfind(">"), True
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(html)
+            yield start, at, "", "", ""
+            continue
+        if start >= last:  # nothing closes any more
+            return
+        close = html.startswith("/", start + 1)
+        name = _NAME.match(html, start + 1 + close)
+        if not name:
+            if html.startswith(("<!", "<?"), start):
+                at = html.find(">", start) + 1
+                yield start, at, "", "", ""
+            else:
+                at = start + 1
+            continue
+        end = name.end()
+        if close or not quotes:
+            end = html.find(">", end)
+        else:
+            while (stop := _STOP.search(html, end)) and stop.group() != ">":
+                end = html.find(stop.group(), stop.end()) + 1
+                if not end:
+                    stop = None
+                    break
+            quotes = stop is not None
+            end = stop.start() if stop else html.find(">", name.end())
+        if end < 0:
+            return
+        at = end + 1
+        yield (start, at, name.group().lower(), "", "") if close else (start, at, "", name.group().lower(), html[name.end() : end])
 
 
 def parse(html: str) -> Node:
     """A tree of elements and strings; forgiving about end tags as browsers are."""
     root = Node("html")
     stack, at, end = [root], 0, len(html)
-    while at < end:
-        m = _TAG.search(html, at)
-        if not m:
-            stack[-1].items.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            stack[-1].items.append(unescape(html[at : m.start()]))
-        at = m.end()
-        close, tag = m.group(1), m.group(2)
+    for start, after, close, tag, attrs in tags(html):
+        if start < at:  # inside the text of a raw element
+            continue
+        if start > at:
+            stack[-1].items.append(unescape(html[at:start]))
+        at = after
         if close:
-            close = close.lower()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == close:
                     del stack[i:]
@@ -82,8 +125,6 @@ def parse(html: str) -> Node:
                 if close not in BLOCK and stack[i].tag in BLOCK:  # an inline end tag does not reach out of its block
                     break
         elif tag:
-            tag = tag.lower()
-            attrs = m.group(3) or ""
             words = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
             names = tuple(re.findall(r"[a-z]+", " ".join(words.get(k, "") for k in ("class", "id", "role")).lower()))
             if words.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs):
@@ -112,6 +153,8 @@ def parse(html: str) -> Node:
                 stack.append(node)
             elif tag not in VOID and tag in BLOCK:
                 stack.append(node)
+    if at < end:
+        stack[-1].items.append(unescape(html[at:]))
     return root
 
 
@@ -119,49 +162,65 @@ def left_out(node: Node) -> bool:
     return node.tag in DROPPED or "__hidden" in node.names or (node.tag not in ("article", "main", "body", "html") and not PARTS.isdisjoint(node.names))
 
 
-def hash_tree(node: Node) -> int:
-    """Hashes of all subtrees: tag, names, and the hashes of what is inside, in order."""
-    h = xxhash.xxh64(f"{node.tag} {' '.join(node.names)}")
-    for item in node.items:
-        h.update(hash_tree(item).to_bytes(8, "big") if isinstance(item, Node) else _SPACE.sub(" ", item).encode())
-    node.digest = h.intdigest()
-    return node.digest
+def hash_tree(root: Node) -> None:
+    """Sets, from the leaves up, the hashes of all subtrees (tag, names, what is inside, in order) and ``running``.
+
+    running: whether the element holds text of its own or a paragraph; then it is content, however often it is repeated.
+    """
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack += [x for x in node.items if isinstance(x, Node)]
+    for node in reversed(nodes):
+        h = xxhash.xxh64(f"{node.tag} {' '.join(node.names)}")
+        for item in node.items:
+            if isinstance(item, Node):
+                h.update(item.digest.to_bytes(8, "big"))
+                node.running = node.running or item.tag != "a" and (item.tag in ("p", "pre", "blockquote") or item.running and item.tag not in CONTAINERS)
+            else:
+                h.update(_SPACE.sub(" ", item).encode("utf-8", "surrogatepass"))
+                node.running = node.running or bool(item.strip())
+        node.digest = h.intdigest()
 
 
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _running(node: Node) -> bool:
-    """Whether the element holds text of its own or a paragraph: then it is content, however often it is repeated."""
-    return any((item.tag in ("p", "pre", "blockquote") or _running(item) and item.tag not in CONTAINERS) if isinstance(item, Node) else item.strip() for item in node.items if not (isinstance(item, Node) and item.tag == "a"))
-
+def candidates(root: Node) -> set[tuple[int, bool]]:
+    """Subtrees of a hashed page that may be template: (hash, whether it must recur on many of the host's pages).
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees of a page that may be template."""
-    out: set[int] = set()
+    These are blocks outside the article, and containers without running text in it.
+    """
+    out: set[tuple[int, bool]] = set()
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
         for item in node.items:
-            if isinstance(item, Node) and not left_out(item):
-                if item.tag in BLOCK and item.tag not in ("article", "main", "body", "html") and (not inside or item.tag in CONTAINERS and not _running(item)):
-                    out.add(_signed(item.digest))
+            if isinstance(item, Node):
+                own = item.tag in BLOCK and item.tag not in ("article", "main", "body", "html")
+                if own and (not inside or item.tag in CONTAINERS and not item.running):
+                    out.add((_signed(item.digest), inside or item.running))
                 stack.append((item, inside))
     return out
 
 
-def text_of(root: Node, template: set[int] = frozenset()) -> str:
-    """The page's main text without subtrees whose hash is in template."""
+def text_of(root: Node, template: set[int] = frozenset(), structural: bool = True) -> str:
+    """The page's main text without subtrees whose hash is in template and, if structural, without those left out.
+
+    Without structural rules the text is that of the whole body: what templates alone leave.
+    """
+    unwanted = left_out if structural else lambda node: node.tag in ("head", *RAW)
     tops: list[Node] = []
-    stack = [root]
+    stack = [root] if structural else []
     while stack:
         node = stack.pop()
         if node.tag in ("article", "main"):
             tops.append(node)
             continue
-        stack += [x for x in reversed(node.items) if isinstance(x, Node) and not left_out(x)]
+        stack += [x for x in reversed(node.items) if isinstance(x, Node) and _signed(x.digest) not in template and not left_out(x)]
     blocks, now = [], []
 
     def close() -> None:
@@ -179,7 +238,7 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
             now.append(item)
         elif item.tag == "br":
             now.append(" ")
-        elif not left_out(item) and _signed(item.digest) not in template:
+        elif _signed(item.digest) not in template and not unwanted(item):
             block = item.tag in BLOCK
             if block:
                 close()
@@ -190,40 +249,43 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, pages) summed over the rows of a batch; hash null: the host's pages."""
+    """(host, hash, strict, pages) summed over the rows of a batch; hash null: the host's pages."""
     for batch in batches:
         count: dict[tuple, int] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             root = parse(html)
             hash_tree(root)
-            for h in [None, *candidates(root)]:
-                count[host, h] = count.get((host, h), 0) + 1
+            for h, strict in [(None, False), *candidates(root)]:
+                count[host, h, strict] = count.get((host, h, strict), 0) + 1
+        keys = [list(c) for c in zip(*count)] or [[], [], []]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.int64()), pa.array(list(count.values()), pa.int64())],
-            names=["host", "hash", "pages"],
+            [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.bool_()), pa.array(list(count.values()), pa.int64())],
+            names=["host", "hash", "strict", "pages"],
         )
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, running_share: float = RUNNING_SHARE) -> DataFrame:
     """(host, hashes): the template subtrees of each host that has any. At most 1/min_share times a page's elements each."""
-    counts = stored(pages.select("host", "html").mapInArrow(_hashes, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages")), "subtrees")
+    counts = pages.select("host", "html").mapInArrow(_hashes, "host string, hash long, strict boolean, pages long")
+    counts = stored(counts.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.max("strict").alias("strict")), "subtrees")
     whole = counts.where("hash is null").select("host", F.col("pages").alias("all_pages"))
     often = counts.where(F.col("hash").isNotNull() & (F.col("pages") >= min_pages)).join(whole, "host")
-    return often.where(F.col("pages") >= min_share * F.col("all_pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    share = F.when(F.col("strict"), F.lit(running_share)).otherwise(F.lit(min_share))
+    return often.where(F.col("pages") >= share * F.col("all_pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], structural: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for html, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             root = parse(html)
             if hashes:
                 hash_tree(root)
-            texts.append(text_of(root, set(hashes or ())))
+            texts.append(text_of(root, set(hashes or ()), structural))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, structural: bool = True) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row."""
     rows = pages.select("page_id", "url", F.lower(F.regexp_extract(clean_text(F.col("url")), _HOST, 1)).alias("host"), clean_text(F.col("html")).alias("html"))
     known = templates(rows, min_pages, min_share)
@@ -236,5 +298,5 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
     joined = joined.select("page_id", "url", "html", "hashes")
-    out = joined.mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    out = joined.mapInArrow(lambda it: _extract(it, structural), f"page_id {kind}, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
