@@ -5,25 +5,25 @@ from __future__ import annotations
 import numpy as np
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, edges: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Knots (score, probability) of the non-decreasing least-squares fit of y on x: pool adjacent violators.
 
-    n: how often each observation occurred (default: once).
-
-    Each pooled block gives one knot at its mean score; probabilities keep away from 0 and 1 by half an observation.
+    n: how often each observation occurred (default: once). Each pooled block gives one knot at its mean score (with
+    edges: at its lowest and its highest score); probabilities keep away from 0 and 1 by half an observation.
     Use with np.interp, which interpolates between knots, so that the order of scores survives within blocks' gaps.
     """
     if len(x) == 0:
         return np.array([0.0]), np.array([0.5])
     order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # weight, sum of y, sum of x
+    blocks: list[list[float]] = []  # weight, sum of y, sum of x, lowest x, highest x
     for xi, yi, ni in zip(x[order], y[order], (np.ones(len(x)) if n is None else n)[order]):
-        blocks.append([float(ni), float(ni * yi), float(ni * xi)])
+        blocks.append([float(ni), float(ni * yi), float(ni * xi), float(xi), float(xi)])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
-            w, s, t = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + s, blocks[-1][2] + t]
-    w, s, t = np.array(blocks).T
-    return t / w, (s + 0.5) / (w + 1.0)
+            w, s, t, _, high = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + s, blocks[-1][2] + t, blocks[-1][3], high]
+    w, s, t, low, high = np.array(blocks).T
+    p = (s + 0.5) / (w + 1.0)
+    return (np.stack([low, high], 1).ravel(), np.repeat(p, 2)) if edges else (t / w, p)
 
 
 def calibrated(raw: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -1,20 +1,28 @@
 """Personal data: fixed formats, and candidates that boosted trees accept by format and context.
 
-Generators of high recall propose spans, which may overlap: obfuscated addresses, runs of digits and separators, longer
-dotted numbers, colon-separated hexadecimal groups, bank account numbers. Their features are shape (lengths, groups,
-separators, neighbours) and context (words before). The trees learn, from at most MAX_CANDIDATES candidates, which ones
-coincide with a span of the fixed formats; check digits and ranges are no features, so they judge by looks. Isotonic
-calibration on candidates kept out gives probabilities; a candidate that touches no fixed span is added where its
-probability reaches ``least``. The fixed spans always stay.
-
-Rows: a null text counts as empty; offsets are code points. Every row is looked at whole, and each on its own.
+Generators of high recall propose spans, which may overlap: obfuscated addresses, runs of digits and separators, dotted
+numbers in brackets, colon-separated hexadecimal groups, bank account numbers. Their features are format (lengths,
+groups, separators, check digit, range of the parts) and context (words before, characters around).
+
+No table says which candidates are personal data, so the trees learn from made cases, at most MAX_CANDIDATES of each
+label: positive is a span of the fixed formats, rewritten as people disguise or reformat it (``disguises``) and put back
+in its own context; negative are the same rewritings with other digits (``spoilt``) and those of the corpus's own free
+candidates that a first fit does not take for personal data.
+Isotonic calibration on made cases kept out gives probabilities; a candidate that touches no fixed span is added where
+its probability reaches ``least``. The fixed spans always stay.
+
+Rows: a null text counts as empty; offsets are code points. Every row is looked at whole, and each on its own, so ids may
+be null or repeated. Other columns, whatever their names, are not looked at. An empty table gives an empty result.
+Without a span of the fixed formats in any row there is nothing to learn from, and nothing is added.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +43,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = re.compile(r"[^\s<>()\[\],;:\"']{1,64}\s?(?:@|[\[({]\s?at\s?[\])}]|\sat\s)\s?[^\s<>()\[\],;:\"'@]{1,80}?(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[A-Za-z]{2,12}\b")
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().\-/]{0,3}[0-9]){6,24}(?![0-9A-Za-z])")
+_DOTTED = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|[\[({]dot[\])}]|\sdot\s)\s?[0-9]{1,3}){3}(?![0-9A-Za-z])", re.I)
 _V6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 _CUES = tuple(re.compile(p, re.I) for p in (r"mail|contact|write|send", r"tel|phone|call|mobil|cell|fax", r"card|visa|master|amex|credit|payment", r"\bip\b|host|server|address|client", r"iban|account|bank|ssn|social|passport|licen[cs]e"))
-_SOME = re.compile(r"[0-9@]|\bat\b.*\bdot\b", re.S)
+_SOME, _AT_WORD = re.compile(r"[0-9@]"), re.compile(r"\bat\b", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -82,16 +91,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def kind_of(s: str) -> int:
+    """The kind that a run of digits and separators is proposed as."""
+    n = sum(c.isdigit() for c in s)
+    return 1 if s.count(".") == 3 and n <= 12 and not re.search(r"[ ()/-]", s) else 3 if n < 13 else 2
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) proposed by the generators; spans may overlap."""
     out = []
-    if "@" in text or re.search(r"[\[({]\s?at\s?[\])}]|\sdot\s", text, re.I):
+    if "@" in text or _AT_WORD.search(text):
         out += [(0, *m.span()) for m in _AT.finditer(text)]
-    for m in _DIGITS.finditer(text):
-        s = m.group()
-        n = sum(c.isdigit() for c in s)
-        kind = 1 if s.count(".") == 3 and n <= 12 and not re.search(r"[ ()/-]", s) else 3 if n < 13 else 2
-        out.append((kind, *m.span()))
+    out += [(1, *m.span()) for m in _DOTTED.finditer(text)]
+    out += [(kind_of(m.group()), *m.span()) for m in _DIGITS.finditer(text)]
     if ":" in text:
         out += [(1, *m.span()) for m in _V6.finditer(text)]
     out += [(2, *m.span()) for m in _IBAN.finditer(text)]
@@ -99,65 +111,121 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    s, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 2]
-    groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
+    return described(kind, text[start:end], text[max(0, start - 40) : start], text[end : end + 2])
+
+
+def described(kind: int, s: str, before: str, after: str) -> list[float]:
+    """The features of a candidate s of a kind between two stretches of text."""
+    parts = re.findall(r"[0-9]+", s)
+    groups = [len(g) for g in parts] or [0]
     digits, letters = sum(groups), sum(c.isalpha() for c in s)
     return [
         kind, len(s), digits, letters, len(groups), groups[0], groups[-1], max(groups), min(groups),
         s.count(" "), s.count("-"), s.count("."), s.count("(") + s.count(")"), s.count("/"), s.count(":"), s.count("@"),
         s[0] == "+", len(s.rpartition(".")[2]) if kind == 0 else 0,
+        digits >= 12 and luhn("".join(parts)), len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts),
+        s.count("["), " at " in s.lower() or "at]" in s.lower() or "at)" in s.lower(), " dot " in s.lower() or "dot]" in s.lower(),
         not before or before[-1].isspace(), not after or after[0].isspace() or after[0] in ".,;)",
         *(bool(c.search(before)) for c in _CUES),
     ]
 
 
+WIDTH = 25 + len(_CUES)
+
+
+def disguises(kind: int, s: str) -> list[str]:
+    """A span of a fixed format as people write it to hide it, or in another layout."""
+    digits = re.sub(r"[^0-9]", "", s)
+    fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+    if kind == 0:
+        name, _, host = s.partition("@")
+        return [f"{name} [at] {host}", f"{name}(at){host}", f"{name} at {host.replace('.', ' dot ')}", f"{name} [at] {host.replace('.', ' [dot] ')}", f"{name} @ {host}"]
+    if kind == 1:
+        return [s.replace(".", x) for x in ("[.]", "(.)", " dot ", "[dot]")]
+    if kind == 2:
+        return [x.join(fours) for x in (".", "/", " - ", "  ")]
+    local = digits[-10:]
+    return [f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"00{digits[:-10]} {local[:3]} {local[3:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}"]
+
+
+def spoilt(kind: int, s: str, forms: list[str]) -> list[str]:
+    """What looks like a span s, or its disguises, and is none: another check digit, parts out of range, too few digits.
+
+    Digits of the span also stand as a date and time, as a section number and in short groups.
+    """
+    digits = re.sub(r"[^0-9]", "", s)
+    d = (digits * 12)[:12] if digits else ""
+    out = [f"{d[:4]}-{d[4:6]}-{d[6:8]} {d[8:10]}", f"{d[:3]}.{d[3:6]}.{d[6:8]}", f"{d[:3]} {d[3:6]} {d[6:8]}", f"{d[:4]}/{d[4:6]}/{d[6:8]}", d[:9]] if d else []
+    if kind == 1:
+        out += [re.sub(r"^[0-9]+", lambda m: str(int(m.group()) % 600 + 300), x) for x in (s, *forms)]
+    if kind == 2:
+        for x in (s, *forms):
+            at = max(i for i, c in enumerate(x) if c.isdigit())
+            out.append(x[:at] + str((int(x[at]) + 3) % 10) + x[at + 1 :])
+    return out
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, fixed spans (flat), free candidates (flat, with features), and features of those on fixed spans."""
+    """doc_id, fixed spans (flat), free candidates (flat, with features), and features of made cases, good and bad."""
     ints, reals = pa.list_(pa.int32()), pa.list_(pa.float32())
     for batch in batches:
-        base, free, shape, hits = [], [], [], []
+        columns = [[] for _ in range(5)]
         for text in batch.column(1).to_pylist():
-            b, f, x, h = [], [], [], []
-            if _SOME.search(text):
+            b, f, x, good, bad = [], [], [], [], []
+            if _SOME.search(text) or _AT_WORD.search(text):
                 spans = base_spans(text)
                 b = [v for s in spans for v in s]
-                starts = sorted((s, e) for _, s, e in spans)
-                edge = np.maximum.accumulate([e for _, e in starts]) if starts else []
+                for k, s, e in spans:
+                    before, after = text[max(0, s - 40) : s], text[e : e + 2]
+                    forms = disguises(k, text[s:e])
+                    for own in forms:
+                        good += described(k, own, before, after)
+                    for worse in spoilt(k, text[s:e], forms):
+                        bad += described(1 if "[" in worse or " dot " in worse else kind_of(worse), worse, before, after)
+                ordered = sorted((s, e) for _, s, e in spans)
+                starts = [s for s, _ in ordered]
+                reach = list(accumulate((e for _, e in ordered), max))
                 for k, s, e in candidates(text):
-                    i = int(np.searchsorted([a for a, _ in starts], e)) if starts else 0  # spans that start before e
-                    if i and edge[i - 1] > s:
-                        h += features(text, k, s, e)
-                    else:
+                    i = bisect_left(starts, e)  # spans that start before e
+                    if not i or reach[i - 1] <= s:
                         f += (k, s, e)
                         x += features(text, k, s, e)
-            base.append(b), free.append(f), shape.append(x), hits.append(h)
+            for column, value in zip(columns, (b, f, x, good, bad)):
+                column.append(value)
+        b, f, x, good, bad = columns
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(base, ints), pa.array(free, ints), pa.array(shape, reals), pa.array(hits, reals)],
-            names=["doc_id", "base", "free", "shape", "hits"],
+            [batch.column(0), pa.array(b, ints), pa.array(f, ints), pa.array(x, reals), pa.array(good, reals), pa.array(bad, reals)],
+            names=["doc_id", "base", "free", "shape", "good", "bad"],
         )
 
 
-WIDTH = 20 + len(_CUES)
+def _sample(found: DataFrame, limit: int, column: str) -> np.ndarray:
+    """At most ``limit`` cases of a column, those of smallest hash of their row's id and place in it."""
+    starts = F.sequence(F.lit(1), F.size(column) - WIDTH + 1, F.lit(WIDTH))
+    own = found.where(F.size(column) > 0).select("doc_id", F.posexplode(F.transform(starts, lambda i: F.slice(column, i, F.lit(WIDTH)))).alias("at", "x"))
+    rows = own.orderBy(F.xxhash64("doc_id", "at"), "x").limit(limit).select("x").toArrow()["x"].to_pylist()
+    return np.array(rows, np.float64).reshape(-1, WIDTH)
 
 
 def fit(found: DataFrame, limit: int = MAX_CANDIDATES) -> tuple[BoostedTrees, np.ndarray, np.ndarray]:
-    """Trees and calibration from at most ``limit`` candidates, in documents of smallest id hash."""
-    some = found.where("size(shape) > 0 or size(hits) > 0").orderBy(F.xxhash64("doc_id"), F.col("free")).limit(limit // 2)
-    x, y = [], []
-    for r in some.select("shape", "hits").collect():
-        for flat, label in ((r["shape"], 0.0), (r["hits"], 1.0)):
-            rows = np.array(flat[: 50 * WIDTH], np.float64).reshape(-1, WIDTH)
-            x.append(rows)
-            y += [label] * len(rows)
-    x = np.concatenate(x) if x else np.empty((0, WIDTH))
-    x, y = x[:limit], np.array(y[:limit])
-    learn = np.arange(len(y)) % 4 != 0
+    """Trees and calibration from at most ``limit`` cases of each label.
+
+    Free candidates have no label: some may be personal data. Trees fitted on made cases alone look at them first; those
+    on the negative side join the negative cases of the second fit.
+    """
+    good, bad, free = (_sample(found, limit, c) for c in ("good", "bad", "shape"))
+    if not len(good):
+        return BoostedTrees(), np.array([0.0]), np.array([0.0])
+    first = BoostedTrees().fit(np.concatenate([good, bad]), np.r_[np.ones(len(good)), np.zeros(len(bad))])
+    bad = np.concatenate([bad, free[first.raw(free) < 0]])
+    x, y = np.concatenate([good, bad]), np.r_[np.ones(len(good)), np.zeros(len(bad))]
+    learn = np.r_[np.arange(len(good)), np.arange(len(bad))] % 4 != 0
     trees = BoostedTrees().fit(x[learn], y[learn])
-    return trees, *isotonic(trees.raw(x[~learn]), y[~learn])
+    return trees, *isotonic(trees.raw(x[~learn]), y[~learn], edges=True)
 
 
 def _choose(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterator[pa.RecordBatch]:
@@ -165,7 +233,7 @@ def _choose(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterator[
     for batch in batches:
         doc, base, free, shape = (batch.column(i) for i in range(4))
         rows = [np.array(x, np.float64).reshape(-1, WIDTH) for x in shape.to_pylist()]
-        p = np.interp(trees.raw(np.concatenate(rows)), knots, values) if rows else np.empty(0)
+        p = np.interp(trees.raw(np.concatenate(rows)), knots, values) if rows else np.empty(0)  # one for each candidate
         at, counts, digests, all_spans, added = 0, [], [], [], []
         for b, f, x in zip(base.to_pylist(), free.to_pylist(), rows):
             fixed = [tuple(b[i : i + 3]) for i in range(0, len(b), 3)]
@@ -186,7 +254,8 @@ def pii_report(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", te
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
     rows = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_find, f"doc_id {kind}, base array<int>, free array<int>, shape array<float>, hits array<float>")
+    cases = "shape array<float>, good array<float>, bad array<float>"
+    found = rows.mapInArrow(_find, f"doc_id {kind}, base array<int>, free array<int>, {cases}")
     found = stored(found, "pii")
     model = fit(found)
     out = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
