@@ -534,7 +534,7 @@ def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, de
 def drop_near_copies(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: that of the smallest id. Rows with a null id stay."""
     found = jaccard_components(docs, n, num, den, id_col, text_col)
-    name = "__dropped"
+    name = next(x for x in (f"dropped_{i}" for i in range(len(docs.columns) + 1)) if x not in {c.lower() for c in docs.columns})
     dropped = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "dropped")
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(dropped) if few else dropped, F.col(f"`{id_col}`") == F.col(name), "left_anti")
