@@ -5,19 +5,28 @@ path maximises the sum of scores; in (max, +) algebra a stretch of text is a mat
 those at its right edge, a state being the number of characters by which a piece reaches over the edge. Such matrices
 combine associatively, so
 
-* a word, between edges that no piece crosses, is a 1x1 matrix: words are solved independently (all distinct words of a
-  batch at once, as array operations) and remembered;
-* an unbroken run longer than CHUNK is cut into chunks: each chunk yields its transfer matrix, a prefix product of the
-  matrices gives the state at every cut on the best path, and each chunk is then traced back on its own.
-
-Scores are whole numbers added exactly; of equally good paths the one whose last piece is longest wins. Characters without a piece cost less than any piece and become byte pieces.
-
-Rows: a null text counts as empty; the empty text has no ids. decode() inverts encode() exactly, except that a U+2581
-that stood in the text comes back as a blank (round_trip is false there), as in the library.
+* a text of more than GIANT characters is cut into chunks of CHUNK characters, wherever the cuts fall. Each chunk yields
+  its transfer matrix; prefix products, by doubling, give the best score of every state at every cut; from these each
+  chunk is solved and traced back on its own (``best_chunked``). GROUP chunks are held at a time;
+* in a shorter text a word, between edges that no piece crosses, is a 1x1 matrix: words are solved independently (all
+  distinct words of a batch at once, as array operations) and remembered. Unbroken runs over GIANT are cut, too.
+
+Both give the path of a recurrence over the whole text: scores are whole numbers added exactly; of equally good paths
+the one whose last piece is longest wins, and so on towards the front. Characters without a piece cost less than any
+piece and become byte pieces.
+
+The model file at hand orders its pieces by rank (a BPE vocabulary, whose scores are negative ranks, not likelihoods). A
+piece of rank r is taken to have the probability 1 / (r + RANK_SHIFT) of Zipf's law, up to a constant; log-probabilities
+of a unigram file are taken as they are. Nothing is trained.
+
+Rows: a null text counts as empty; the empty text has no ids. Rows are encoded one by one, so ids may be null or
+repeated; other columns may have any names; an empty table gives an empty result. decode() inverts encode() exactly,
+except that a U+2581 that stood in the text comes back as a blank (round_trip is false there), as in the library.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +39,10 @@ from pyspark.sql import functions as F
 from kolumna.llm.common import clean_text
 
 SPACE = "▁"
-CHUNK = 2048
+CHUNK, GROUP, GIANT = 256, 1024, 16_384
 REMEMBERED = 400_000
+#: Log-probabilities are kept as whole multiples of 1 / UNIT.
+UNIT, RANK_SHIFT = 1e6, 10
 #: An unknown character costs this much more than the worst piece (fixed value of the library).
 UNKNOWN = 10.0
 _NEVER = -1e300
@@ -55,10 +66,13 @@ class Vocabulary:
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
+        raw = {self.pieces[i]: sp.get_score(i) for i in plain}
+        if all(x == int(x) for x in raw.values()):  # negative ranks
+            raw = {p: -math.log(RANK_SHIFT - x) for p, x in raw.items()}
+        self.score = {p: float(round(x * UNIT)) for p, x in raw.items()}
         self.id = {self.pieces[i]: i for i in plain}
         self.longest = max(map(len, self.id))
-        self.unknown = min(self.score.values()) - UNKNOWN
+        self.unknown = min(self.score.values()) - UNKNOWN * UNIT
         inner = {c for p in self.id if len(p) > 1 for c in p}
         #: A blank starts a word unless a piece has a blank after something else; lone characters stand for themselves.
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
@@ -129,7 +143,7 @@ def best_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     out: list[tuple[int, ...]] = [()] * len(words)
     by_width: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if len(w) > CHUNK:
+        if len(w) > GIANT:
             out[i] = best_chunked(w, v)
         else:
             by_width.setdefault(1 << max(2, (len(w) - 1).bit_length()), []).append(i)
@@ -187,62 +201,115 @@ def trace(word: str, back: np.ndarray, e: list, row: int, v: Vocabulary, end: in
     return tuple(reversed(ids))
 
 
-def transfer(e: list, row: int, lo: int, hi: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's transfer matrix and the piece sizes on its best paths.
+def ending(codes: np.ndarray, length: np.ndarray, v: Vocabulary, chunk: int) -> np.ndarray:
+    """Scores of the pieces that start within ``chunk`` characters: (end, longest - size, chunk row)."""
+    out = np.full((chunk + v.longest, v.longest, len(codes)), _NEVER)
+    for size, (score, _) in enumerate(edges(codes, length, v), 1):
+        m = min(chunk, score.shape[1])
+        out[size : size + m, v.longest - size] = score[:, :m].T
+    return out
+
+
+def solved(pieces: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores at every position of each chunk from those of its states, and the size of the last piece (0: none).
 
-    Row i: the left edge is crossed by a piece that ends i characters into the chunk. Column j: the last piece ends j
-    characters behind the right edge. sizes[i, t]: size of the last piece of the best path from state i to position t.
+    pieces: ending(); start: (states, rows). The longest piece is looked at first, so it wins ties, and a piece that
+    reaches in from the left is longer than any that starts inside.
+    """
+    ends, longest, rows = pieces.shape
+    best = np.full((longest + ends, rows), _NEVER)  # position p is at p + longest
+    best[longest : 2 * longest] = start
+    size = np.zeros((ends, rows), np.int16)
+    for end in range(1, ends):
+        score = best[end : end + longest] + pieces[end]
+        k = score.argmax(0)
+        top = np.take_along_axis(score, k[None], 0)[0]
+        better = top > best[longest + end]
+        best[longest + end][better] = top[better]
+        size[end][better] = longest - k[better]
+    return best[longest:], size
+
+
+def transfer(pieces: np.ndarray, chunk: int) -> np.ndarray:
+    """The chunks' transfer matrices (row, left state, right state).
+
+    Left state i: a piece reaches i characters into the chunk. Right state j: one reaches j characters behind it.
     """
-    span = hi - lo
-    best = np.full((longest, span + longest), _NEVER)
-    sizes = np.zeros((longest, span + longest), np.int16)
-    for i in range(min(longest, span + longest)):
-        best[i, i] = 0.0
-    for end in range(1, span + longest):
-        for size in range(min(len(e), end), 0, -1):
-            start = end - size
-            if start >= span or lo + start >= e[size - 1][0].shape[1]:
-                continue
-            score = best[:, start] + e[size - 1][0][row, lo + start]
-            better = score > best[:, end]
-            best[better, end], sizes[better, end] = score[better], size
-    return best[:, span : span + longest], sizes
+    ends, longest, rows = pieces.shape
+    best = np.full((longest + ends, rows, longest), _NEVER)
+    for i in range(longest):
+        best[longest + i, :, i] = 0.0
+    for end in range(1, ends):
+        np.maximum(best[longest + end], (best[end : end + longest] + pieces[end][:, :, None]).max(0), out=best[longest + end])
+    return best[longest + chunk : 2 * longest + chunk].transpose(1, 2, 0)
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus matrix product."""
-    return (a[:, :, None] + b[None, :, :]).max(1)
-
-
-def best_chunked(word: str, v: Vocabulary, chunk: int = CHUNK) -> tuple[int, ...]:
-    """Ids of the best path of a long run: transfer matrices by chunk, the state at each cut, then each chunk's way back."""
-    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)[None, :]
-    e = edges(codes, np.array([len(word)]), v)
-    cuts = list(range(0, len(word), chunk)) + [len(word)]
-    chunks = [transfer(e, 0, lo, hi, v.longest) for lo, hi in zip(cuts, cuts[1:])]
-    # from the right: the value of reaching the end from each state at each cut (a matrix product with one column)
-    value = [np.full(v.longest, _NEVER)]
-    value[0][0] = 0.0
-    for matrix, _ in reversed(chunks):
-        value.append((matrix + value[-1][None, :]).max(1))
-    value.reverse()
-    state, parts = 0, []
-    for (matrix, sizes), lo, hi, later in zip(chunks, cuts, cuts[1:], value[1:]):
-        nxt = int((matrix[state] + later).argmax())
-        back = np.zeros(hi - lo + v.longest + 1, np.int16)
-        back[: sizes.shape[1]] = sizes[state]
-        end, ids = hi - lo + nxt, []
-        while end > state:
-            size = int(back[end])
-            k = e[size - 1][1][0, lo + end - size]
-            if k >= 0:
-                ids.append(int(v.ids[k]))
-            else:
-                ids += [v.byte[b] for b in reversed(word[lo + end - size : lo + end].encode("utf-8", "surrogatepass"))]
-            end -= size
-        parts += reversed(ids)
-        state = nxt
-    return tuple(parts)
+    """Max-plus matrix product (of two matrices, or of two stacks of them, one by one)."""
+    return np.stack([(a[..., i, :, None] + b).max(-2) for i in range(a.shape[-2])], -2)
+
+
+def prefixes(matrices: np.ndarray) -> np.ndarray:
+    """The product of each matrix with all before it, by doubling: every step joins products of twice as many."""
+    out, step = matrices, 1
+    while step < len(out):
+        out = np.concatenate([out[:step], np.maximum(combine(out[:-step], out[step:]), _NEVER)])
+        step *= 2
+    return out
+
+
+def best_chunked(text: str, v: Vocabulary, chunk: int = CHUNK, group: int = GROUP) -> tuple[int, ...]:
+    """Ids of the best path of a long text: transfer matrices by chunk, prefix products, each chunk's own way back."""
+    longest, n = v.longest, len(text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cuts = np.arange(0, n, chunk)
+    reach = chunk + longest
+    state = np.full(longest, _NEVER)
+    state[0] = 0.0
+    sizes, origins = [], []
+    for lo in range(0, len(cuts), group):
+        at = cuts[lo : lo + group]
+        length = np.minimum(n - at, reach)
+        own = np.zeros(int(at[-1] - at[0]) + reach, np.uint64)
+        piece_of = codes[at[0] : at[0] + len(own)]
+        own[: len(piece_of)] = piece_of
+        pieces = ending(np.lib.stride_tricks.sliding_window_view(own, reach)[::chunk][: len(at)], length, v, chunk)
+        states = combine(state[None, None, :], prefixes(transfer(pieces, chunk)))[:, 0]
+        start = np.concatenate([state[None], states[:-1]])
+        state = states[-1]
+        _, size = solved(pieces, start.T)
+        # where the way back from each position behind the chunk's right edge enters the chunk
+        end = np.repeat(np.arange(chunk, reach)[:, None], len(at), 1)
+        column = np.arange(len(at))[None, :]
+        while (back := size[end, column]).any():
+            end = end - back
+        sizes.append(size), origins.append(end.T)
+    size, origin = np.concatenate(sizes, 1).T, np.concatenate(origins)
+    goal, last = np.zeros(len(cuts), np.int64), n - int(cuts[-1])
+    goal[-1] = last
+    for i in range(len(cuts) - 2, -1, -1):  # the state at each cut, from the right
+        if i == len(cuts) - 2:
+            end = last
+            while size[i + 1, end]:
+                end -= int(size[i + 1, end])
+        else:
+            end = int(origin[i + 1, goal[i + 1] - chunk])
+        goal[i] = chunk + end
+    edge = np.zeros(n + reach, bool)  # ends of pieces
+    end, row = goal.copy(), np.arange(len(cuts))
+    while (back := size[row, end]).any():
+        live = back > 0
+        edge[(cuts + end)[live]] = True
+        end = end - back
+    ends = np.flatnonzero(edge[: n + 1]).tolist()
+    ids: list[int] = []
+    for a, b in zip([0, *ends], ends):
+        i = v.id.get(text[a:b])
+        if i is None:
+            ids += [v.byte[x] for x in text[a:b].encode("utf-8", "surrogatepass")]
+        else:
+            ids.append(i)
+    return tuple(ids)
 
 
 class Encoder:
@@ -251,9 +318,6 @@ class Encoder:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.lost: set[str] = set()
-        #: Of the last call's texts, whether decoding gives each again.
-        self.exact: list[bool] = []
 
     def split(self, text: str) -> list[str]:
         return self.v.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -261,18 +325,11 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[list[int]]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        parts = [self.split(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        solved = best_words(new, self.v)
-        self.known.update(zip(new, solved))
-        # words decode one by one, so a text decodes to itself if its words make it up and each decodes to itself
-        self.lost.update(w for w, ids in zip(new, solved) if surface(ids, self.v) != w)
-        out, self.exact = [], []
+        parts = [None if len(t) > GIANT else self.split(t) for t in texts]
+        new = list({w for p in parts if p for w in p if w not in self.known})
+        self.known.update(zip(new, best_words(new, self.v)))
         known = self.known
-        for p, t in zip(parts, texts):
-            out.append([i for w in p for i in known[w]])
-            self.exact.append("".join(p) == (SPACE + t.replace(" ", SPACE) if t else "") and (not self.lost or self.lost.isdisjoint(p)))
-        return out
+        return [list(best_chunked(SPACE + t.replace(" ", SPACE), self.v)) if p is None else [i for w in p for i in known[w]] for p, t in zip(parts, texts)]
 
 
 def surface(ids, v: Vocabulary) -> str:
@@ -312,7 +369,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, check: bool)
             columns = [*(part.column(i) for i in rest), lists, pa.array(size.astype(np.int64))]
             names = [*(batch.schema.names[i] for i in rest), "ids", "n_tokens"]
             if check:
-                columns.append(pa.array([ok and SPACE not in t for ok, t in zip(own.exact, texts)], pa.bool_()))
+                columns.append(pa.array([decode(x, own.v) == t for x, t in zip(ids, texts)], pa.bool_()))
                 names.append("round_trip")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

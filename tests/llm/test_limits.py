@@ -3,11 +3,12 @@
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kolumna.llm import exact_dedup, html_text, jaccard_join, pii, secrets
+from kolumna.llm import exact_dedup, html_text, jaccard_join, pii, secrets, sentencepiece_scan
 from kolumna.session import on_workers
 
 SECONDS = 30  # the machine may be shared
@@ -121,3 +122,51 @@ def test_near_copies_go_whatever_the_columns_are_called(spark):
     rows = [(1, text, 7), (2, text + " more", 7), (3, "else", 7), (None, text, 7)]
     df = on_workers(spark).createDataFrame(rows, "doc_id long, text string, __dropped int")
     assert sorted(r["doc_id"] or 0 for r in jaccard_join.drop_near_copies(df).collect()) == [0, 1, 3]
+
+
+def whole_text_path(text, v):
+    """A recurrence over the whole text, without chunks or words: the ids of the best path, the longest last piece first."""
+    best, back = [0.0], [0]
+    for end in range(1, len(text) + 1):
+        options = [(best[end - k] + s, k) for k in range(min(end, v.longest), 0, -1) if (s := v.score.get(text[end - k : end], v.unknown if k == 1 else None)) is not None]
+        top = max(s for s, _ in options)
+        best.append(top), back.append(next(k for s, k in options if s == top))
+    ids, end = [], len(text)
+    while end:
+        piece = text[end - back[end] : end]
+        ids = ([v.id[piece]] if piece in v.id else [v.byte[b] for b in piece.encode()]) + ids
+        end -= back[end]
+    return ids
+
+
+def test_chunks_words_and_whole_texts_give_one_path():
+    v = sentencepiece_scan.vocabulary(sentencepiece_scan.default_model())
+    rng = random.Random(5)
+    texts = [prose(rng, n) + rng.choice(["", " 你好", "\n\n x", "  "]) + prose(rng, 9) for n in (1, 5, 60, 200)] + ["ab" * 300, "née 𝒳 " * 40]
+    encode = sentencepiece_scan.Encoder(sentencepiece_scan.default_model())
+    for text, ids in zip(texts, encode(texts)):
+        marked = sentencepiece_scan.SPACE + text.replace(" ", sentencepiece_scan.SPACE)
+        assert ids == whole_text_path(marked, v)
+        for chunk, group in ((17, 3), (64, 1024), (256, 2)):
+            assert list(sentencepiece_scan.best_chunked(marked, v, chunk, group)) == ids
+
+
+def test_prefix_products_do_not_depend_on_the_order_of_combining():
+    rng = np.random.default_rng(1)
+    m = rng.integers(-50, 0, (13, 5, 5)).astype(float)
+    one_by_one = [m[0]]
+    for x in m[1:]:
+        one_by_one.append(sentencepiece_scan.combine(one_by_one[-1], x))
+    assert np.array_equal(sentencepiece_scan.prefixes(m), np.stack(one_by_one))
+
+
+def test_giant_documents_go_through_the_chunks(spark, monkeypatch):
+    texts = [prose(random.Random(k), 4000) for k in range(2)] + ["x" * 40_000]
+    assert all(len(t) > sentencepiece_scan.GIANT for t in texts)
+    df = on_workers(spark).createDataFrame([*enumerate(texts), (0, None), (None, "a")], "doc_id long, text string")
+    got = sentencepiece_scan.encode(df).collect()
+    assert len(got) == 5 and all(r["round_trip"] for r in got)
+    encode = sentencepiece_scan.Encoder(sentencepiece_scan.default_model())
+    monkeypatch.setattr(sentencepiece_scan, "GIANT", 10**9)
+    by_words = {i: encode([t])[0] for i, t in enumerate(texts[:2])}
+    assert {r["doc_id"]: r["ids"] for r in got if r["n_tokens"] > 10_000 and r["doc_id"] in by_words} == by_words
