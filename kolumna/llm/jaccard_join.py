@@ -409,10 +409,15 @@ def jaccard_components(
     den: int = DEN,
     id_col: str = "doc_id",
     text_col: str = "text",
+    documents: int | None = None,
 ) -> DataFrame:
-    """Each row's doc_id, n_shingles (size of its set) and component_id (smallest id reachable by links)."""
+    """Each row's doc_id, n_shingles (size of its set) and component_id (smallest id reachable by links).
+
+    documents: the table size that the cost model reckons with (default: the number of rows). It decides which segments
+    are indexed, never which links are found.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).cast("binary").alias("text"))
-    documents = rows.count()
+    documents = rows.count() if documents is None else documents
     filed = stored(rows.mapInArrow(lambda it: _file(it, n, num, den, documents), SCHEMA), "filed", "what")
     sets = filed.where("what = 'set'").select(F.col("key").alias("f1"), "f2", F.col("id").alias("doc_id"), "n", "local")
     classes = (
@@ -513,7 +518,10 @@ def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, de
     open_ = open_.select(
         "key", F.ceil(F.col("apart_n") / TILE).cast("int").alias("us"), F.ceil(F.col("all_n") / TILE).cast("int").alias("vs")
     )
-    rest = now.where("id <> leader").join(open_, "key")
+    # a key may have very many members: they are dealt out before they meet its line
+    salt = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SALTS)).cast("int")
+    spread = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = now.where("id <> leader").withColumn("salt", salt).join(spread, ["key", "salt"]).drop("salt")
     deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = rest.where("apart = 1").select("key", deal("us").alias("u"), all_of("vs").alias("v"), "id", "label", F.lit(0).alias("role"))
