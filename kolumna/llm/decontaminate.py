@@ -15,8 +15,9 @@ on diagonals that differ by at most k. So
 The items are read into blocks of at most BLOCK_CHARS characters; a task holds one block's index. Benchmarks of more
 characters take several passes over the documents. Texts are read whole, in pieces that overlap.
 
-Null texts count as empty and match nothing, as do items of fewer than LEAST characters; ids may be null or repeated
-(rows are looked at one by one).
+Null texts count as empty and match nothing, as do items of fewer than LEAST characters, which are too unspecific; ids
+may be null or repeated (rows are looked at one by one). Other columns may have any names. An empty documents or
+benchmark table gives no leaks and drops nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolumna.llm.common import clean_text
+from kolumna.llm.common import clean_text, stored
 
 #: Items under Q characters have no q-gram; from Q to 2 * Q - 1 the budget is 0.
 Q, ERRORS, WINDOW, LEAST = 8, 0.08, 128, 8
@@ -274,10 +275,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, match_start long, match_end long, edits long, windows long"
-    out = None
+    out = held = None
     for items in blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items))  # bounded by BLOCK_CHARS
-        part = rows.mapInArrow(lambda it, index=index: _search(it, index.value), schema)
+        if held is not None:  # so that the tasks hold one block's index at a time, the pass before is written out
+            out = stored(out, "leaks")
+            held.unpersist()
+        held = docs.sparkSession.sparkContext.broadcast(Index(items))  # bounded by BLOCK_CHARS
+        part = rows.mapInArrow(lambda it, index=held: _search(it, index.value), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -293,7 +297,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """docs without the rows that hold a benchmark passage; other rows and all columns are unchanged."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), clean_text(F.col(text_col)).alias("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
+    held = None
     for items in blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items))
+        if held is not None:
+            rows = stored(rows, "clean")
+            held.unpersist()
+        held = index = docs.sparkSession.sparkContext.broadcast(Index(items))
         rows = rows.mapInArrow(lambda it, index=index: _clean_only(it, index.value), schema)
     return rows.select("row.*")

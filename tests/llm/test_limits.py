@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kolumna.llm import exact_dedup, html_text, jaccard_join, pii, secrets, sentencepiece_scan
+from kolumna.llm import decontaminate, exact_dedup, html_text, jaccard_join, pii, secrets, sentencepiece_scan
 from kolumna.session import on_workers
+from tests.llm.test_text_operators import brute_components
 
 SECONDS = 30  # the machine may be shared
 
@@ -170,3 +171,68 @@ def test_giant_documents_go_through_the_chunks(spark, monkeypatch):
     monkeypatch.setattr(sentencepiece_scan, "GIANT", 10**9)
     by_words = {i: encode([t])[0] for i, t in enumerate(texts[:2])}
     assert {r["doc_id"]: r["ids"] for r in got if r["n_tokens"] > 10_000 and r["doc_id"] in by_words} == by_words
+
+
+def fits(pattern, text, budget):
+    """Whether some stretch of text is within so many edits of pattern (the plain recurrence, free ends)."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row) <= budget
+
+
+def test_leaks_are_those_of_plain_alignment(spark):
+    rng = random.Random(8)
+    items = ["".join(rng.choices("abcdefghij ", k=n)).strip() for n in (10, 30, 64, 150)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    texts = [None, ""]
+    for _ in range(60):
+        item = rng.choice(items)
+        cut = sorted(rng.sample(range(len(item)), 2)) if rng.random() < 0.5 else (0, len(item))
+        part = list(item[cut[0] : cut[1]])
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            if part:
+                k = rng.randrange(len(part))
+                part[k : k + rng.randrange(2)] = rng.choice(["", "z", "yx"])
+        texts.append("".join(rng.choices("klmnopqrst ", k=80)) + " " + "".join(part) + " " + "".join(rng.choices("klmnopqrst ", k=80)))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(on_workers(spark).createDataFrame([*enumerate(texts)], "doc_id long, text string"), bench).collect()}
+    index = decontaminate.Index([*enumerate(items)])
+    want = set()
+    for i, text in enumerate(texts):
+        c, _ = decontaminate.normalised(text or "")
+        want |= {(i, index.item[w]) for w, p in enumerate(index.chars) if fits(p.tolist(), c.tolist(), int(index.budget[w]))}
+    assert got == want
+
+
+def test_leaks_over_several_blocks_and_empty_tables(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [prose(rng, 20) for _ in range(6)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    df = on_workers(spark).createDataFrame([(i, t, "a", 1) for i, t in enumerate([*items, prose(rng, 30), None])], "doc_id long, text string, item_id string, row int")
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (250,))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()} == {(i, i) for i in range(6)}
+    left = decontaminate.drop_contaminated(df, bench)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [6, 7]
+    assert decontaminate.leaks(df.limit(0), bench).isEmpty() and decontaminate.drop_contaminated(df.limit(0), bench).isEmpty()
+    assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == 8
+
+
+@pytest.mark.parametrize("documents", [1000, 10**13])
+def test_either_allocation_finds_the_same_components(spark, documents):
+    """Sets filed whole, and by one-deletion neighbourhoods, as the cost model takes them for very large tables."""
+    rng = random.Random(documents)
+    texts = [None, "", "one"]
+    for _ in range(10):
+        base = prose(rng, rng.randrange(5, 120)).split()
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = prose(rng, 1)
+            texts.append(" ".join(copy))
+    df = on_workers(spark).createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df, 3, 4, 5, documents=documents).collect()}
+    sizes, label = brute_components(texts, 3, 4, 5)
+    assert [got[i] for i in range(len(texts))] == list(zip(sizes, label))
