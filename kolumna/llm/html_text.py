@@ -269,9 +269,13 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     counts = pages.select("host", "html").mapInArrow(_hashes, "host string, hash long, strict boolean, pages long")
     counts = stored(counts.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.max("strict").alias("strict")), "subtrees")
     whole = counts.where("hash is null").select("host", F.col("pages").alias("all_pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("pages") >= min_pages)).join(whole, "host")
+    # a host may have very many subtrees: they are dealt out before they meet its number of pages
+    whole = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    often = counts.where(F.col("hash").isNotNull() & (F.col("pages") >= min_pages))
+    often = often.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")).join(whole, ["host", "salt"])
     share = F.when(F.col("strict"), F.lit(running_share)).otherwise(F.lit(min_share))
-    return often.where(F.col("pages") >= share * F.col("all_pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    found = often.where(F.col("pages") >= share * F.col("all_pages"))
+    return found.groupBy("host", "salt").agg(F.collect_list("hash").alias("part")).groupBy("host").agg(F.flatten(F.collect_list("part")).alias("hashes"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], structural: bool) -> Iterator[pa.RecordBatch]:
