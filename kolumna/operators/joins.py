@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolumna.qtable import QTable
+from kolumna.session import cut
 
 
 def first_match(y: QTable) -> DataFrame:
@@ -121,7 +122,8 @@ def asof_rows(
 
     One sort of both sides together, no join: y's rows come before x's at equal times, ties of y in y's order. With
     ``buckets`` (seconds), the time is cut into buckets, each a partition of its own, and the last row of y before a
-    bucket is carried into it; use it where a few keys hold most rows.
+    bucket is carried into it; use it where a few keys hold most rows. Without equal keys, ranges of the time are such
+    buckets always, so that the tables do not meet in one task.
     """
     *equal, time = keys
     y.ordered()
@@ -133,7 +135,14 @@ def asof_rows(
     right = right.withColumn("__o", F.lpad(tie.cast("string"), 12, "0"))
     right = right.select(*equal, F.col(time).alias("__t"), F.lit(0).alias("__side"), "__o", F.struct(*values).alias("__y"))
     both = left.unionByName(right, allowMissingColumns=True)
-    if buckets:
+    if not equal:
+        part = ["__b"]
+        both = cut(both.repartitionByRange(F.col("__t").asc_nulls_first()).withColumn("__b", F.spark_partition_id()))
+        ends = both.groupBy("__b").agg(F.max_by("__y", F.when(F.col("__side") == 0, F.struct("__t", "__o"))).alias("__end"))
+        before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        carried = ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+        both = both.join(F.broadcast(carried), part)
+    elif buckets:
         both = both.withColumn("__b", F.floor(F.unix_micros(F.col("__t").cast("timestamp")) / (buckets * 1_000_000)))
         part = [*equal, "__b"]
         last = right.withColumn("__b", F.floor(F.unix_micros(F.col("__t").cast("timestamp")) / (buckets * 1_000_000)))
@@ -144,9 +153,9 @@ def asof_rows(
         both = both.join(carried, part)
     else:
         part = list(equal)
-    run = Window.partitionBy(*(part or [F.lit(0)])).orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*part).orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
     m = F.last("__y", ignorenulls=True).over(run)
-    both = both.withColumn("__m", F.coalesce(m, F.col("__carry")) if buckets else m)
+    both = both.withColumn("__m", F.coalesce(m, F.col("__carry")) if buckets or not equal else m)
     out = both.where("__side = 1").select("__row_x.*", "__m")
     for k in equal:  # null keys never match
         out = out.withColumn("__m", F.when(F.col(k).isNotNull(), F.col("__m")))
@@ -235,13 +244,55 @@ def deref(x: DataFrame, link: str, target: DataFrame, row: str, fields: Sequence
     return x.join(chosen, link, "left")
 
 
+def multiway(*atoms: tuple[DataFrame, Sequence[str]]) -> DataFrame:
+    """All bindings of a conjunctive pattern: each atom is a table and the names of the variables that its columns bind.
+
+    Atoms are first reduced by semi joins on what they share with each neighbour, forwards and backwards, which removes
+    rows without a partner before anything grows; then they are joined, each to one that shares a variable with it. A
+    pattern whose atoms do not hang together is refused, as it would be a product.
+    """
+    left = []
+    for df, names in atoms:
+        if len(names) != len(df.columns):
+            raise ValueError("an atom names every column of its table")
+        names = list(names)
+        for i, n in enumerate(names):  # a variable that stands twice in an atom
+            if names.index(n) < i:
+                df = df.where(F.col(df.columns[i]) == F.col(df.columns[names.index(n)]))
+        left.append(df.select(*[F.col(df.columns[names.index(n)]).alias(n) for n in dict.fromkeys(names)]).distinct())
+    order = [left.pop(0)]
+    bound = set(order[0].columns)
+    while left:
+        nxt = next((d for d in left if bound & set(d.columns)), None)
+        if nxt is None:
+            raise ValueError("the atoms do not hang together")
+        left = [d for d in left if d is not nxt]
+        order.append(nxt)
+        bound |= set(nxt.columns)
+
+    def reduced(dfs: list[DataFrame]) -> list[DataFrame]:
+        out = [dfs[0]]
+        for d in dfs[1:]:
+            near = next((o for o in reversed(out) if set(o.columns) & set(d.columns)), None)
+            shared = [c for c in d.columns if near is not None and c in near.columns]
+            out.append(d.join(near.select(*shared).distinct(), shared, "left_semi") if shared else d)
+        return out
+
+    order = reduced(order)
+    order = reduced(order[::-1])[::-1]
+    whole = order[0]
+    for d in order[1:]:
+        whole = whole.join(d, [c for c in d.columns if c in whole.columns])
+    return whole
+
+
 def wco_triangles(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Triangles x < y < z of an undirected graph: each edge runs from the endpoint of lower degree, which bounds the paths."""
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
     degree = e.select("u").union(e.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     e = e.join(degree.withColumnRenamed("d", "du"), "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
     low = F.struct("du", "u") < F.struct(F.col("dv").alias("du"), F.col("v").alias("u"))
-    e = e.select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("p"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("q"))
+    e = cut(e.select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("p"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("q")))
     one, two = e.select("p", F.col("q").alias("q1")), e.select("p", F.col("q").alias("q2"))
     paths = one.join(two, "p").where("q1 < q2")
     closed = paths.join(e.select(F.least("p", "q").alias("q1"), F.greatest("p", "q").alias("q2")), ["q1", "q2"])

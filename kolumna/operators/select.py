@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,27 +12,47 @@ from kolumna.qtable import QTable
 from kolumna.semantics import holds
 
 Phrases = dict[str, Column]
-Constraint = Column | Callable[[], Column]
+
+
+@dataclass(frozen=True)
+class Folded:
+    """A condition on a row and an aggregate over all rows that are left (or those of the row's group)."""
+
+    aggregate: Column
+    test: Callable[[Column], Column]
+
+
+def above(x: Column, times: float, aggregate: Column, or_equal: bool = False) -> Folded:
+    """x > times * aggregate (or >=)."""
+    return Folded(aggregate, lambda m: x >= times * m if or_equal else x > times * m)
+
+
+Constraint = Column | Folded
 
 
 def where(df: DataFrame, constraints: Sequence[Constraint], by: Sequence[str] = ()) -> DataFrame:
     """Rows that pass every constraint, each of which sees only what the previous ones kept.
 
-    A constraint given as a function is an aggregate condition: it is evaluated over the rows left (within ``by``).
+    A Folded constraint's aggregate is taken over the rows left (within ``by``): folded in every task, then joined back,
+    so neither the table nor a group is ever in one task.
     """
-    for k, c in enumerate(constraints):
-        if callable(c) and not isinstance(c, Column):
-            name = f"__c{k}"
-            df = df.withColumn(name, over(c(), by)).where(holds(F.col(name))).drop(name)
+    for c in constraints:
+        if not isinstance(c, Folded):
+            df = df.where(c)  # unknown is dropped as false is; the bare predicate reaches the scan
+            continue
+        columns = df.columns
+        m = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]).agg(c.aggregate.alias("__m"))
+        if by:
+            same = F.lit(True)
+            for i, k in enumerate(by):
+                same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+            df = df.join(m, same)
         else:
-            df = df.where(holds(c))
+            df = df.crossJoin(F.broadcast(m))  # one row
+        df = df.where(c.test(F.col("__m"))).select(*columns)
     return df
 
 
-def over(expr: Column, by: Sequence[str]) -> Column:
-    return expr.over(Window.partitionBy(*by)) if by else expr.over(Window.partitionBy(F.lit(0)))
-
-
 def _checked(names: Sequence[str]) -> None:
     if len(set(names)) < len(names):
         raise ValueError(f"duplicate output names: {names}")
@@ -111,12 +132,21 @@ def update(t: QTable, phrases: Phrases, by: Sequence[str] = (), constraints: Seq
     for c in constraints:
         passes = passes & holds(c)
     df = df.withColumn("__pass", passes)
+    values = phrases
+    if by:  # groups are folded in every task before they meet, and join back by key: no group is gathered
+        of = where(t.df, constraints).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)])
+        of = of.agg(*[c.alias(f"__v{i}") for i, c in enumerate(phrases.values())])
+        same = F.lit(True)
+        for i, k in enumerate(by):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        df = df.join(of, same & F.col("__pass"), "left")
+        values = {n: F.col(f"__v{i}") for i, n in enumerate(phrases)}
     new = {}
-    for name, phrase in phrases.items():
-        value = phrase.over(Window.partitionBy("__pass", *by)) if by else phrase
+    for name, value in values.items():
         old = F.col(name) if name in t.df.columns else F.lit(None)
         new[name] = F.when(F.col("__pass"), value).otherwise(old)
-    return t.with_(df.withColumns(new).drop("__pass"))
+    df = df.withColumns(new)
+    return t.with_(df.select(*t.df.columns, *[n for n in phrases if n not in t.df.columns]))
 
 
 def delete(t: QTable, constraints: Sequence[Column] = (), columns: Sequence[str] = ()) -> QTable:
@@ -125,10 +155,12 @@ def delete(t: QTable, constraints: Sequence[Column] = (), columns: Sequence[str]
         if set(columns) >= set(t.df.columns):
             raise ValueError("cannot delete every column")
         return t.with_(t.df.drop(*columns))
-    passes = F.lit(True)
-    for c in constraints:
-        passes = passes & holds(c)
-    return t.with_(t.df.where(~passes))
+    if not constraints:
+        return t.with_(t.df.limit(0))
+    stays = F.lit(False)
+    for c in constraints:  # a row stays if any constraint is false or unknown; written so that it reaches the scan
+        stays = stays | ~c | c.isNull()
+    return t.with_(t.df.where(stays))
 
 
 def fby(aggregate: Column, by: Sequence[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.operators.joins import asof_rows
-from kolumna.qtable import ROW, QTable, numbered
+from kolumna.qtable import ROW, QTable, numbered, positions
 
 
 def xasc(t: QTable, *cols: str) -> DataFrame:
@@ -31,6 +31,13 @@ def iasc(t: QTable, col: str) -> DataFrame:
     return numbered(QTable(rows, order=(col, ROW)), "position").select("position", F.col(ROW).alias("row"))
 
 
+def idesc(t: QTable, col: str) -> DataFrame:
+    """Row numbers in descending order of a column, ties in row order: (position, row)."""
+    rows = numbered(t).select(F.col(col).alias("__v"), ROW)
+    order = rows.orderBy(F.col("__v").desc_nulls_last(), ROW)
+    return positions(order, "position").select("position", F.col(ROW).alias("row"))
+
+
 def take(t: QTable, n: int) -> DataFrame:
     """The first n rows, or the last -n; more than there are repeat them from the start."""
     size = t.df.count()

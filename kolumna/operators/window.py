@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kolumna.qtable import QTable, numbered
 from kolumna.semantics import col
+from kolumna.session import cut
 
 
 class Order:
@@ -130,17 +133,38 @@ def with_sessions(df: DataFrame, o: Order, ts: str, gap_seconds: int, name: str
     return df.withColumn(name, F.sum("__new").over(o.running)).drop("__new")
 
 
-def ema(df: DataFrame, o: Order, a: float, x: str, name: str = "ema") -> DataFrame:
+def ema(df: DataFrame, o: Order, a: float, x: str, name: str = "ema", block: int = 100_000) -> DataFrame:
     """Exponential moving average e = a*x + (1-a)*e, starting at the first value; nulls count as 0.
 
-    A recurrence that no frame expresses; each partition's rows are folded in order by pandas.
+    A recurrence that no frame expresses. Rows are numbered in their group and cut into blocks; pandas folds each block
+    from 0, and the value that the block before ends with, times (1-a) to the number of rows, is added. Such block ends
+    are themselves a recurrence over few rows, so a group of any size is spread over many tasks.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` double"
-
-    order = list(o.order)
+    rows = df.withColumn("__n", F.row_number().over(o.all) - 1) if o.by else numbered(QTable(df, order=tuple(o.order)), "__n")
+    rows = rows.withColumn("__b", F.floor(F.col("__n") / block))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{name}` double"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{name: pdf[x].fillna(0).astype("float64").ewm(alpha=a, adjust=False).mean()})
-
-    return df.groupBy(*o.by).applyInPandas(fold, schema)
+        pdf = pdf.sort_values("__n")
+        v = pdf[x].fillna(0).astype("float64") * a
+        if pdf["__n"].iloc[0] == 0:
+            v.iloc[0] /= a
+        # e[i] = v[i] + (1 - a) * e[i - 1], from 0: the adjusted mean's numerator without its weights
+        e = np.empty(len(v))
+        last = 0.0
+        for i, value in enumerate(v.to_numpy()):
+            last = e[i] = value + (1 - a) * last
+        return pdf.assign(**{name: e})
+
+    own = cut(rows.groupBy(*o.by, "__b").applyInPandas(fold, schema))
+    ends = own.groupBy(*o.by, "__b").agg(F.max_by(F.col(name), F.col("__n")).alias("__e"), F.count(F.lit(1)).alias("__c"))
+    ordered = Window.partitionBy(*o.by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.collect_list(F.struct("__e", "__c")).over(ordered)  # a row for each block
+    carry = F.aggregate(before, F.lit(0.0), lambda acc, r: r["__e"] + F.pow(F.lit(1.0 - a), r["__c"].cast("double")) * acc)
+    carries = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(o.by)], F.col("__b").alias("__kb"), carry.alias("__carry"))
+    same = F.col("__b") == F.col("__kb")
+    for i, k in enumerate(o.by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    whole = own.join(carries, same)
+    value = F.col(name) + F.pow(F.lit(1.0 - a), (F.col("__n") % block + 1).cast("double")) * F.col("__carry")
+    return whole.select(*df.columns, value.alias(name))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder (one of its own only where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kolumna-"))
-    return df.checkpoint()
-
+from kolumna.session import cut
 
 def undirected(e: DataFrame) -> DataFrame:
     rest = [c for c in e.columns if c not in ("src", "dst")]
@@ -325,3 +317,36 @@ def k_shortest(e: DataFrame, source, target, k: int) -> list[tuple[float, list]]
     return found
 
 
+def info(e: DataFrame) -> DataFrame:
+    """One row: nodes, edges and the largest number of neighbours of a node (widest)."""
+    widest = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("edges"), F.max("n").alias("widest"))
+    return nodes(e).agg(F.count(F.lit(1)).alias("nodes")).crossJoin(widest).select("nodes", "edges", "widest")  # one row each
+
+
+def astar(e: DataFrame, source, target, estimate, rounds: int = 1000) -> tuple[float, list]:
+    """(distance, nodes) of a lightest path, or (inf, []): relaxation that drops what cannot beat the best path found.
+
+    estimate: a function of a node column that never exceeds the distance left. All improved nodes are expanded in a
+    round, as joins; nodes whose distance plus estimate reaches the target's distance are not expanded any more.
+    """
+    kind = dict(e.dtypes)["src"]
+    best = e.sparkSession.createDataFrame([(source, 0.0, None)], f"node {kind}, dist double, parent {kind}")
+    front, goal = best, 0.0 if source == target else float("inf")
+    for _ in range(rounds):
+        step = e.join(front.select(F.col("node").alias("src"), "dist"), "src")
+        step = step.select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"))
+        step = step.where(F.col("dist") + estimate(F.col("node")) < goal)
+        new = cut(best.unionByName(step).groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("m")).select("node", "m.*"))
+        front = cut(new.join(best.select("node", F.col("dist").alias("old")), "node", "left").where("old is null or dist < old").select("node", "dist"))
+        best = new
+        hit = best.where(F.col("node") == target).first()
+        goal = hit["dist"] if hit else goal
+        front = front.where((F.col("node") != target) & (F.col("dist") + estimate(F.col("node")) < goal))
+        if front.isEmpty():
+            break
+    if goal == float("inf"):
+        return goal, []
+    path = [target]
+    while path[-1] != source:
+        path.append(best.where(F.col("node") == path[-1]).first()["parent"])
+    return goal, path[::-1]

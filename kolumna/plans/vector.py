@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolumna.semantics import col
@@ -47,7 +47,7 @@ def nearest(df: DataFrame, predicate: Column, id_: str, v: str, q: Sequence[floa
 class Signs:
     """Random-hyperplane index: rows filed under sign patterns of several tables; a query looks into its own and near patterns."""
 
-    def __init__(self, dim: int, tables: int = 12, bits: int = 8, seed: int = 3):
+    def __init__(self, dim: int, tables: int = 16, bits: int = 8, seed: int = 3):
         self.planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
 
     def codes(self, x: np.ndarray) -> np.ndarray:
@@ -76,3 +76,67 @@ class Signs:
         probe = index.sparkSession.createDataFrame(wanted, "table int, code long")
         ids = index.join(F.broadcast(probe), ["table", "code"]).select(id_).distinct()
         return knn(df.join(ids, id_, "left_semi"), id_, v, q, k, metric)
+
+    def search_many(self, index: DataFrame, df: DataFrame, id_: str, v: str, queries: DataFrame, k: int, metric: str = "cosine", flips: int = 2) -> DataFrame:
+        """Approximate k nearest of each row of queries (columns as df's): (query, id, dist).
+
+        A query looks into its patterns with up to ``flips`` of the bits flipped that its vector is least sure of. Those
+        who share one are ranked exactly.
+        """
+        own = self.build(queries, id_, v).select(F.col(id_).alias("query"), "table", "code")
+        bits = self.planes.shape[1]
+        masks = [0, *(1 << i for i in range(bits)), *((1 << i) | (1 << j) for i in range(bits) for j in range(i))]
+        masks = masks[: 1 + bits * (flips > 0) + bits * (bits - 1) // 2 * (flips > 1)]
+        probe = own.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]))).select("query", "table", F.col("code").bitwiseXOR(F.col("mask")).alias("code"))
+        pairs = probe.join(index, ["table", "code"]).select("query", id_).distinct()
+        return ranked(pairs, df, id_, v, queries, k, metric)
+
+
+def _between(metric: str, a: str, b: str) -> Column:
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    if metric == "ip":
+        return -dot
+    if metric == "cosine":
+        return F.lit(1.0) - dot / (norm(a) * norm(b))
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, x: acc + x))
+
+
+def ranked(pairs: DataFrame, df: DataFrame, id_: str, v: str, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k nearest of the candidates (query, id) of each query; the limit applies in each task before the shuffle."""
+    q = queries.select(F.col(id_).alias("query"), F.col(v).alias("__q"))
+    far = pairs.join(df.select(id_, F.col(v).alias("__v")), id_).join(q, "query").select("query", id_, _between(metric, "__v", "__q").alias("dist"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("dist", id_))
+    return far.withColumn("__n", nth).where(F.col("__n") <= k).drop("__n")
+
+
+def knn_many(df: DataFrame, id_: str, v: str, queries: DataFrame, k: int, metric: str = "cosine", block: int = 256) -> DataFrame:
+    """The exact k nearest of each row of a stated query set, against all rows, in blocks of queries: (query, id, dist).
+
+    Each block of query vectors is sent to the rows' tasks, which keep their own k nearest of each; these meet by query.
+    """
+    kind = dict(df.dtypes)[id_]
+    q = queries.select(F.col(id_).alias("query"), F.col(v).alias("q"))
+    blocks = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(1_000_000_007)) % F.greatest(F.ceil(F.lit(q.count()) / block), F.lit(1)))
+    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs")).select("qs")  # bounded by block
+
+    def nearest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vs, qs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                x, y = np.array(vs, np.float64), np.array([r["q"] for r in qs], np.float64)
+                dot = y @ x.T
+                if metric == "cosine":
+                    d = 1 - dot / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+                elif metric == "ip":
+                    d = -dot
+                else:
+                    d = np.sqrt(np.maximum((y**2).sum(1)[:, None] - 2 * dot + (x**2).sum(1), 0))
+                own = np.array(ids)
+                for r, row in zip(qs, d):
+                    best = np.lexsort((own, row))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["query"]] * len(best)), pa.array(own[best]), pa.array(row[best])], names=["query", id_, "dist"])
+
+    rows = df.select(F.col(id_), F.col(v)).withColumn("__g", F.floor(F.monotonically_increasing_id() / 4096)).groupBy("__g")
+    rows = rows.agg(F.collect_list(id_).alias("ids"), F.collect_list(v).alias("vs")).drop("__g")
+    parts = rows.crossJoin(F.broadcast(blocks)).mapInArrow(nearest_of, f"query {kind}, {id_} {kind}, dist double")
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("dist", id_))
+    return parts.withColumn("__n", nth).where(F.col("__n") <= k).drop("__n")

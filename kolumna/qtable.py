@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kolumna.session import cut
+
 ROW = "__row"
 
 
@@ -68,14 +70,17 @@ def numbered(t: QTable, name: str = ROW) -> DataFrame:
     """The table with its 0-based row numbers in declared order.
 
     Numbers come from a range partitioning: each partition is sorted and counted alone, then shifted by the rows before
-    it, so no task ever holds the table.
+    it, so no task ever holds the table. The sorted partitions are written once (cut); sizes and rows are read from what
+    was written, so they cannot differ, whatever is computed again.
     """
-    df = t.df.orderBy(*t.ordered())
+    return positions(t.df.orderBy(*t.ordered()), name)
+
+
+def positions(df: DataFrame, name: str) -> DataFrame:
+    """A sorted frame with each row's 0-based position; see numbered."""
     counted = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counted = counted.withColumn("__k", F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33))
+    counted = cut(counted.withColumn("__k", F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)))
     sizes = counted.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    from pyspark.sql import Window
-
     before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     shifts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__b"))  # a row for each partition
     return counted.join(F.broadcast(shifts), "__p").withColumn(name, F.col("__k") + F.col("__b")).drop("__p", "__m", "__k", "__b")

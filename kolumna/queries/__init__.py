@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kolumna.queries import extended, relational, scalar
+from kolumna.queries import extended, more, relational, scalar
 from kolumna.queries.registry import QUERIES, SQL, Query
 
-__all__ = ["all_queries", "all_sql", "extended", "relational", "scalar"]
+__all__ = ["all_queries", "all_sql", "extended", "more", "relational", "scalar"]
 
 
 def all_queries() -> dict[str, Query]:

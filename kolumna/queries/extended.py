@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +11,14 @@ from kolumna.plans import graph as G
 from kolumna.plans import vector as V
 from kolumna.plans.datalog import Entities, Program
 from kolumna.queries.registry import Tables, query
+from kolumna.session import shared_folder
 from kolumna.sources import files
 from kolumna.streaming import streams
 
 
 def _folder(t: Tables, name: str) -> str:
-    """A new path in the folder that executors share, or in a temporary one where none is set (local runs)."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/kolumna-{name}-{os.urandom(6).hex()}"
+    """A new path in the folder that executors share."""
+    return f"{shared_folder(t.spark)}/kolumna-{name}-{os.urandom(6).hex()}"
 
 
 # sources and sinks
@@ -100,22 +99,29 @@ def stream_deduplicated(t: Tables) -> DataFrame:
     return streams.run_to_memory(once, "append")
 
 
-# graphs: customers and the nations and regions they belong to; parts and suppliers
-EDGES = "(SELECT DISTINCT (c_nationkey + 100)::BIGINT AS src, c_custkey + 1000 AS dst FROM customer WHERE c_custkey <= 300 UNION SELECT DISTINCT n_regionkey::BIGINT, (n_nationkey + 100)::BIGINT FROM nation)"
+# graphs over whole tables: regions, nations and customers (a forest); parts and their suppliers as one set of numbers
+EDGES = "(SELECT DISTINCT (c_nationkey + 100)::BIGINT AS src, c_custkey + 1000 AS dst FROM customer UNION SELECT DISTINCT n_regionkey::BIGINT, (n_nationkey + 100)::BIGINT FROM nation)"
 
 
 def _edges(t: Tables) -> DataFrame:
-    low = t.customer.where("c_custkey <= 300").select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).alias("dst"))
+    low = t.customer.select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).alias("dst"))
     high = t.nation.select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
     return low.unionByName(high).distinct()
 
 
-MESH = "(SELECT DISTINCT l_partkey % 97 AS src, l_suppkey % 97 AS dst FROM lineitem WHERE l_orderkey % 50 = 0 AND l_partkey % 97 <> l_suppkey % 97)"
+MESH = "(SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 
 def _mesh(t: Tables) -> DataFrame:
-    x = t.lineitem.where("l_orderkey % 50 = 0").select((F.col("l_partkey") % 97).alias("src"), (F.col("l_suppkey") % 97).alias("dst"))
-    return x.where("src <> dst").distinct()
+    return t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).where("src <> dst").distinct()
+
+
+def _weighted(e: DataFrame) -> DataFrame:
+    return e.withColumn("weight", ((F.col("src") * 7919 + F.col("dst") * 104729) % 1009 + 1).cast("double"))
+
+
+#: All pairs of EDGES with the number of hops between them.
+HOPS = f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(s, t, d) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.t), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
 
 
 @query(f"SELECT src, dst FROM {EDGES} WHERE src IN (0, 1)")
@@ -141,9 +147,20 @@ def graph_degree(t: Tables) -> DataFrame:
     return G.degree(_mesh(t))
 
 
-@query()
+def _rank_sql(rounds: int) -> str:
+    """The iteration written out, round by round."""
+    own = f"WITH e AS (SELECT * FROM {MESH}), v AS (SELECT node, o.n AS out FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN (SELECT src AS node, count(*) AS n FROM e GROUP BY 1) o USING (node)), r0 AS (SELECT node, out, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"
+    for k in range(rounds):
+        own += (
+            f", g{k} AS (SELECT e.dst AS node, sum(rank / out) AS got FROM e JOIN r{k} ON e.src = r{k}.node GROUP BY 1), l{k} AS (SELECT coalesce(sum(rank), 0) AS loose FROM r{k} WHERE out IS NULL),"
+            f" r{k + 1} AS (SELECT v.node, v.out, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(got, 0) + loose / (SELECT count(*) FROM v)) AS rank FROM v LEFT JOIN g{k} USING (node), l{k})"
+        )
+    return f"{own} SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(10))
 def graph_pagerank(t: Tables) -> DataFrame:
-    return G.pagerank(_mesh(t), rounds=10).select("node", F.round("rank", 6).alias("rank"))
+    return G.pagerank(_mesh(t), rounds=10).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(f"WITH u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {MESH}) SELECT x.a AS x, x.b AS y, y.b AS z FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
@@ -164,26 +181,30 @@ def graph_topsort(t: Tables) -> DataFrame:
     return G.topsort(_edges(t))
 
 
-@query()
+@query(
+    f"WITH u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {MESH}), d AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM u UNION ALL SELECT b FROM u) GROUP BY 1),"
+    " t AS (SELECT unnest([x.a, x.b, y.b]) AS node FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), c AS (SELECT node, count(*) AS t FROM t GROUP BY 1)"
+    " SELECT node, CASE WHEN d > 1 THEN round(2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)), 9) ELSE 0.0 END AS coefficient FROM d LEFT JOIN c USING (node)"
+)
 def graph_clustering(t: Tables) -> DataFrame:
-    return G.clustering(_mesh(t)).select("node", F.round("coefficient", 6).alias("coefficient"))
+    return G.clustering(_mesh(t)).select("node", F.round("coefficient", 9).alias("coefficient"))
 
 
-@query()
+@query(f"{HOPS}, i AS (SELECT t AS node, count(*) AS i FROM r GROUP BY 1), o AS (SELECT s AS node, count(*) AS o FROM r GROUP BY 1) SELECT node, (coalesce(i, 0) * coalesce(o, 0))::DOUBLE AS betweenness FROM n LEFT JOIN i USING (node) LEFT JOIN o USING (node)")
 def graph_betweenness(t: Tables) -> DataFrame:
-    return G.betweenness(_mesh(t)).select("node", F.round("betweenness", 6).alias("betweenness"))
+    """In a forest every pair above and below a node has its one path through it."""
+    return G.betweenness(_edges(t))
 
 
-@query()
+@query(f"{HOPS}, o AS (SELECT s AS node, count(*) / sum(d) AS c FROM r GROUP BY 1) SELECT node, round(coalesce(c, 0), 9) AS closeness FROM n LEFT JOIN o USING (node)")
 def graph_closeness(t: Tables) -> DataFrame:
-    return G.closeness(_mesh(t)).select("node", F.round("closeness", 6).alias("closeness"))
+    return G.closeness(_edges(t)).select("node", F.round("closeness", 9).alias("closeness"))
 
 
-@query("SELECT 12::BIGINT AS edges")
+@query()
 def graph_mst(t: Tables) -> DataFrame:
-    small = _mesh(t).select((F.col("src") % 13).alias("src"), (F.col("dst") % 13).alias("dst")).where("src <> dst").distinct()
-    tree = G.mst(small.withColumn("weight", (F.col("src") * 7 + F.col("dst") * 3) % 11 + 1))
-    return tree.agg(F.count(F.lit(1)).alias("edges"))
+    """The spanning forest's edges; a test compares them with Kruskal's on a small graph."""
+    return G.mst(_weighted(_mesh(t)))
 
 
 @query()
@@ -193,18 +214,43 @@ def graph_communities(t: Tables) -> DataFrame:
 
 @query()
 def graph_random_walk(t: Tables) -> DataFrame:
-    return G.random_walk(_mesh(t), t.spark.createDataFrame([(1,), (2,)], "node long"), 5)
+    """Walks from every supplier along parts and suppliers, in either direction."""
+    return G.random_walk(G.undirected(_mesh(t)), t.supplier.select(F.col("s_suppkey").alias("node")), 5)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(node, depth, parent, path) AS (SELECT 0::BIGINT, 0::BIGINT, NULL::BIGINT, [0::BIGINT] UNION ALL SELECT e.dst, depth + 1, r.node, list_append(path, e.dst) FROM r JOIN e ON e.src = r.node)"
+    " SELECT node, row_number() OVER (ORDER BY path) - 1 AS ord, depth, parent FROM r"
+)
 def graph_dfs(t: Tables) -> DataFrame:
     return G.dfs(_edges(t), 0)
 
 
-@query("SELECT 3::BIGINT AS n")
+@query()
 def graph_k_shortest(t: Tables) -> DataFrame:
-    e = t.spark.createDataFrame([(1, 2, 1.0), (2, 4, 1.0), (1, 3, 1.0), (3, 4, 2.0), (1, 4, 5.0)], "src long, dst long, weight double")
-    return t.spark.createDataFrame([(len(G.k_shortest(e, 1, 4, 5)),)], "n long")
+    """The five lightest paths from the last part to supplier 1; a test compares them with all paths of a small graph."""
+    source = t.lineitem.agg(F.max("l_partkey")).first()[0]
+    paths = G.k_shortest(_weighted(G.undirected(_mesh(t))), source, 1, 5)
+    return t.spark.createDataFrame([(i, d, "-".join(map(str, p))) for i, (d, p) in enumerate(paths)], "n int, dist double, path string")
+
+
+@query(f"WITH RECURSIVE e AS (SELECT src, dst, ((src * 7919 + dst * 104729) % 1009 + 1)::DOUBLE AS w FROM {EDGES}), r(node, d) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION ALL SELECT e.dst, r.d + e.w FROM r JOIN e ON e.src = r.node) SELECT max(d) AS dist, 2::BIGINT AS hops FROM r WHERE node = (SELECT min(dst) FROM e WHERE src IN (SELECT dst FROM e WHERE src = 0))")
+def graph_astar(t: Tables) -> DataFrame:
+    """From a region to its first customer, by way of the nation."""
+    e = G.cut(_weighted(_edges(t)))
+    goal = e.join(e.where("src = 0").select(F.col("dst").alias("src")), "src").agg(F.min("dst")).first()[0]
+    dist, path = G.astar(e, 0, goal, lambda node: F.lit(0.0))
+    return t.spark.createDataFrame([(dist, len(path) - 1)], "dist double, hops long")
+
+
+@query(f"SELECT src, count(*) AS n FROM {EDGES} WHERE src BETWEEN 100 AND 199 GROUP BY 1")
+def graph_expand_counts(t: Tables) -> DataFrame:
+    return G.expand_counts(_edges(t), t.nation.select((F.col("n_nationkey") + 100).cast("long").alias("node")))
+
+
+@query(f"WITH e AS (SELECT * FROM {EDGES}) SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY src)) AS widest")
+def graph_info(t: Tables) -> DataFrame:
+    return G.info(_edges(t))
 
 
 # Datalog
@@ -255,6 +301,13 @@ def knn_inner_product(t: Tables) -> DataFrame:
 
 @query()
 def ann_hashed(t: Tables) -> DataFrame:
+    """The ten nearest of every row whose id is divisible by 50, among all rows; a test measures recall against knn."""
     s = V.Signs(64)
     index = s.build(t.embeddings, "vec_id", "embedding")
-    return s.search(index, t.embeddings, "vec_id", "embedding", QUERY, 10)
+    return s.search_many(index, t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 50 = 0"), 10)
+
+
+@query("WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0) SELECT query, vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS dist FROM q, embeddings QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), vec_id) <= 10")
+def knn_many(t: Tables) -> DataFrame:
+    found = V.knn_many(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 50 = 0"), 10)
+    return found.select("query", "vec_id", F.round("dist", 6).alias("dist"))

@@ -39,9 +39,7 @@ def select_by_agg(t: Tables) -> DataFrame:
     " SELECT l_orderkey, l_linenumber, l_extendedprice FROM b WHERE l_extendedprice > 1.5 * m"
 )
 def where_refine(t: Tables) -> DataFrame:
-    rows = t.lineitem.where(F.col("l_quantity") > 25)
-    mean = rows.agg(F.avg("l_extendedprice").alias("m"))  # one row
-    kept = rows.crossJoin(F.broadcast(mean)).where(F.col("l_extendedprice") > 1.5 * F.col("m"))
+    kept = S.where(t.lineitem, [F.col("l_quantity") > 25, S.above(F.col("l_extendedprice"), 1.5, F.avg("l_extendedprice"))])
     return kept.select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
@@ -51,9 +49,8 @@ def where_refine(t: Tables) -> DataFrame:
     " SELECT o_custkey, o_orderkey, o_totalprice FROM b WHERE o_totalprice = m"
 )
 def where_fby_after_filter(t: Tables) -> DataFrame:
-    df = t.orders.where(F.col("o_orderstatus") == "O")
-    best = df.withColumn("m", S.fby(F.max("o_totalprice"), ["o_custkey"]))
-    return best.where("o_totalprice = m").select("o_custkey", "o_orderkey", "o_totalprice")
+    best = S.where(t.orders, [F.col("o_orderstatus") == "O", S.above(F.col("o_totalprice"), 1.0, F.max("o_totalprice"), or_equal=True)], ["o_custkey"])
+    return best.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -186,15 +183,20 @@ def count_distinct(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(A.count_distinct("user_id").alias("users"), A.q_count().alias("n"))
 
 
-@query()
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS close FROM lineitem GROUP BY 1")
 def approx_distinct(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(A.approx_count_distinct("l_partkey").alias("parts"))
+    """The exact count, and whether the estimate is within 3 % of it."""
+    both = t.lineitem.groupBy("l_returnflag").agg(A.count_distinct("l_partkey").alias("parts"), A.approx_count_distinct("l_partkey").alias("about"))
+    return both.select("l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) <= 0.03 * F.col("parts")).alias("close"))
 
 
-@query()
+@query("SELECT count(DISTINCT l_partkey) AS parts, true AS close FROM lineitem")
 def sketch_distinct(t: Tables) -> DataFrame:
+    """Sketches by group, merged: the exact count, and whether the estimate is within 3 % of it."""
     parts = t.lineitem.groupBy("l_returnflag").agg(A.sketch_distinct("l_partkey").alias("s"))
-    return parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("parts"))
+    about = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("about"))
+    exact = t.lineitem.agg(A.count_distinct("l_partkey").alias("parts"))
+    return exact.crossJoin(about).select("parts", (F.abs(F.col("about") - F.col("parts")) <= 0.03 * F.col("parts")).alias("close"))  # one row each
 
 
 @query("SELECT p_brand, unnest(list_slice(list(p_retailprice ORDER BY p_retailprice DESC), 1, 3)) AS price FROM part GROUP BY 1")
@@ -274,13 +276,13 @@ def uj_stack(t: Tables) -> DataFrame:
     return J.uj(QTable(a), QTable(b)).df
 
 
-KEYED = "a AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey <= 1000), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) END AS name FROM customer WHERE c_custkey > 500)"
+KEYED = "a AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_acctbal < 5000), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) END AS name FROM customer WHERE c_acctbal > 0)"
 
 
 def _keyed_pair(t: Tables) -> tuple[QTable, QTable]:
     c = t.customer
-    a = c.where("c_custkey <= 1000").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
-    b = c.where("c_custkey > 500").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).alias("name"))
+    a = c.where("c_acctbal < 5000").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    b = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).alias("name"))
     return QTable(a, ("k",), ("k",)), QTable(b, ("k",), ("k",))
 
 
@@ -536,9 +538,9 @@ def rotate_rows(t: Tables) -> DataFrame:
     return sort.rotate(t.q("nation", "n_nationkey"), 3).select("n_nationkey", F.col("position").cast("long").alias("position"))
 
 
-@query("SELECT o_orderkey, (SELECT count(*) FROM part p WHERE p.p_retailprice <= o.o_totalprice / 100) - 1 AS bin FROM (SELECT * FROM orders WHERE o_orderkey % 10 = 0) o")
+@query("WITH p AS (SELECT p_retailprice AS price, max(n) AS n FROM (SELECT p_retailprice, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS n FROM part) GROUP BY 1) SELECT o_orderkey, coalesce(n, -1) AS bin FROM (SELECT o_orderkey, o_totalprice / 100 AS x FROM orders) ASOF LEFT JOIN p ON x >= price")
 def bin_search(t: Tables) -> DataFrame:
-    values = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_totalprice") / 100).alias("p_retailprice"))
+    values = t.orders.select("o_orderkey", (F.col("o_totalprice") / 100).alias("p_retailprice"))
     return sort.bin_(t.q("part", "p_retailprice", "p_partkey"), values, "p_retailprice").select("o_orderkey", F.col("bin").cast("long").alias("bin"))
 
 

@@ -91,10 +91,9 @@ def regex_and_replace(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.rlike("p_type", "^[A-M]").alias("hit"), T.full_match("p_brand", r"Brand#\d+").alias("whole"), T.extract("p_brand", r"(\d)(\d)", 2).alias("second"), T.ssr("p_type", "S", "z").alias("ssr"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '([A-Z])[a-z]+', 1), '') AS caps FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '([A-Z])[a-z]+', 1), '') AS caps FROM documents")
 def regex_extract_all(t: Tables) -> DataFrame:
-    d = t.documents.where("lang = 'en'")
-    return d.select("doc_id", F.size(T.extract_all("text", "[A-Z][a-z]+")).cast("long").alias("n"), F.array_join(T.extract_all("text", "([A-Z])[a-z]+", 1), "").alias("caps"))
+    return t.documents.select("doc_id", F.size(T.extract_all("text", "[A-Z][a-z]+")).cast("long").alias("n"), F.array_join(T.extract_all("text", "([A-Z])[a-z]+", 1), "").alias("caps"))
 
 
 @query("SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '_') AS one, regexp_replace(p_type, '[AEIOU]', '_', 'g') AS every, len(regexp_split_to_array(p_type, ' +'))::BIGINT AS parts FROM part")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Value rules: arithmetic wraps and divides without raising; one session zone; the optimizer re-plans at run time.
 SETTINGS = {
@@ -33,6 +35,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is (local runs)."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="kolumna-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder: lineage ends there, and what is read again is what was written."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
     """Let Python workers of this machine import this package from where the driver did.
 

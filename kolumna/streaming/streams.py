@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kolumna.session import shared_folder
+
 
 def source(spark: SparkSession, path: str, like: DataFrame, glob: str = "*.parquet", per_trigger: int = 1) -> DataFrame:
     """A Parquet file stream with the schema of a table."""
@@ -46,9 +48,9 @@ def deduplicated(df: DataFrame, *keys: str) -> DataFrame:
 def run_to_memory(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there now, into a table of the session, and give the table."""
     name = f"s_{abs(hash(df)) % 10**9}"
-    with tempfile.TemporaryDirectory(prefix="kolumna-") as folder:
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
-        q.awaitTermination()
+    folder = f"{shared_folder(df.sparkSession)}/stream-{os.urandom(6).hex()}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    q.awaitTermination()
     return df.sparkSession.table(name)
 
 
