@@ -34,7 +34,7 @@ from kolumna.llm.common import clean_text, stored
 #: Items under Q characters have no q-gram; from Q to 2 * Q - 1 the budget is 0.
 Q, ERRORS, WINDOW, LEAST = 8, 0.08, 128, 8
 SHORT, SHORT_STEP = 64, 16
-BLOCK_CHARS, PIECE = 1_500_000, 1 << 19
+BLOCK_CHARS, PIECE = 1_500_000, 1 << 18
 _BITS, _CELLS = 22, 21
 _MULT = 0x9E3779B97F4A7C15
 

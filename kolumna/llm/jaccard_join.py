@@ -42,7 +42,7 @@ WORDS, NUM, DEN = 5, 4, 5
 #: Ratio of a band's largest size to its smallest.
 BAND = 1.5
 #: A task sends its keys off after so many rows.
-FLUSH = 500_000
+FLUSH = 250_000
 #: Rows of either side of a tile in which remaining pairs are compared.
 TILE = 256
 SALTS = 16
@@ -64,7 +64,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
