@@ -149,20 +149,36 @@ def clustering(e: DataFrame) -> DataFrame:
 
 
 def mst(e: DataFrame) -> DataFrame:
-    """Minimum spanning forest (src, dst, weight) by Borůvka rounds: each component takes its lightest outgoing edge."""
-    key = F.struct("weight", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    e = cut(e.where("src <> dst").select("weight", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    comp = cut(nodes(e).withColumn("c", F.col("node")))
-    chosen = e.limit(0)
+    """Minimum spanning forest (src, dst, weight) by Borůvka rounds: each component takes its lightest outgoing edge.
+
+    Equal weights are told apart by the edge's ends. The components that an edge joins hang on each other; jumping from
+    each to where its own target hangs finds the roots in few steps, and edges within one component go.
+    """
+    ends = e.where("src <> dst").select("weight", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    live = cut(ends.groupBy("src", "dst").agg(F.min("weight").alias("weight")).withColumn("cs", F.col("src")).withColumn("cd", F.col("dst")))
+    chosen = live.select("src", "dst", "weight").limit(0)
     while True:
-        x = e.join(comp.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(comp.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs <> cd")
-        picks = x.withColumn("k", key).select("k", F.explode(F.array("cs", "cd")).alias("c")).groupBy("c").agg(F.min("k").alias("k"))
-        new = cut(picks.select(F.col("k.a").alias("src"), F.col("k.b").alias("dst"), F.col("k.weight").alias("weight")).distinct())
-        if new.isEmpty():
+        key = F.struct("weight", "src", "dst", "cs", "cd")
+        picks = cut(live.select(F.explode(F.array("cs", "cd")).alias("c"), key.alias("k")).groupBy("c").agg(F.min("k").alias("k")))
+        if picks.isEmpty():
             return chosen
-        chosen = cut(chosen.unionByName(new))
-        found = connected(chosen)
-        comp = cut(nodes(e).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+        chosen = cut(chosen.unionByName(picks.select("k.src", "k.dst", "k.weight").distinct()))
+        hangs = picks.select("c", F.when(F.col("c") == F.col("k.cs"), F.col("k.cd")).otherwise(F.col("k.cs")).alias("to"))
+        back = hangs.select(F.col("c").alias("to"), F.col("to").alias("again"))
+        up = hangs.join(back, "to").select("c", F.when((F.col("again") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+        up = cut(up)
+        while True:
+            far = up
+            for _ in range(3):
+                far = far.join(far.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("next").alias("to"))
+            far = cut(far)
+            done = far.join(up.withColumnRenamed("to", "old"), "c").where("to <> old").isEmpty()
+            up = far
+            if done:
+                break
+        for c in ("cs", "cd"):
+            live = live.join(up.select(F.col("c").alias(c), F.col("to").alias("root")), c).drop(c).withColumnRenamed("root", c)
+        live = cut(live.where("cs <> cd"))
 
 
 def random_walk(e: DataFrame, start: DataFrame, steps: int, seed: int = 1) -> DataFrame:
