@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from kolumna.llm.common import clean_text
 
 SPACE = "▁"
-CHUNK, GROUP, GIANT = 256, 1024, 16_384
+CHUNK, GROUP, GIANT = 256, 1024, 32_768
 REMEMBERED = 400_000
 #: Log-probabilities are kept as whole multiples of 1 / UNIT.
 UNIT, RANK_SHIFT = 1e6, 10

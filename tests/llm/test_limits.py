@@ -162,7 +162,7 @@ def test_prefix_products_do_not_depend_on_the_order_of_combining():
 
 
 def test_giant_documents_go_through_the_chunks(spark, monkeypatch):
-    texts = [prose(random.Random(k), 4000) for k in range(2)] + ["x" * 40_000]
+    texts = [prose(random.Random(k), 8000) for k in range(2)] + ["x" * 40_000]
     assert all(len(t) > sentencepiece_scan.GIANT for t in texts)
     df = on_workers(spark).createDataFrame([*enumerate(texts), (0, None), (None, "a")], "doc_id long, text string")
     got = sentencepiece_scan.encode(df).collect()
