@@ -9,7 +9,7 @@ combine associatively, so
   its transfer matrix; prefix products, by doubling, give the best score of every state at every cut; from these each
   chunk is solved and traced back on its own (``best_chunked``). GROUP chunks are held at a time;
 * in a shorter text a word, between edges that no piece crosses, is a 1x1 matrix: words are solved independently (all
-  distinct words of a batch at once, as array operations) and remembered. Unbroken runs over GIANT are cut, too.
+  distinct words of a batch at once, as array operations) and remembered. Unbroken runs over RUN are cut, too.
 
 Both give the path of a recurrence over the whole text: scores are whole numbers added exactly; of equally good paths
 the one whose last piece is longest wins, and so on towards the front. Characters without a piece cost less than any
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from kolumna.llm.common import clean_text
 
 SPACE = "▁"
-CHUNK, GROUP, GIANT = 256, 1024, 32_768
+CHUNK, GROUP, GIANT, RUN = 256, 1024, 32_768, 2048
 REMEMBERED = 400_000
 #: Log-probabilities are kept as whole multiples of 1 / UNIT.
 UNIT, RANK_SHIFT = 1e6, 10
@@ -143,7 +143,7 @@ def best_words(words: list[str], v: Vocabulary) -> list[tuple[int, ...]]:
     out: list[tuple[int, ...]] = [()] * len(words)
     by_width: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if len(w) > GIANT:
+        if len(w) > RUN:
             out[i] = best_chunked(w, v)
         else:
             by_width.setdefault(1 << max(2, (len(w) - 1).bit_length()), []).append(i)
