@@ -168,10 +168,8 @@ def mst(e: DataFrame) -> DataFrame:
         up = hangs.join(back, "to").select("c", F.when((F.col("again") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
         up = cut(up)
         while True:
-            far = up
-            for _ in range(3):
-                far = far.join(far.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("next").alias("to"))
-            far = cut(far)
+            jump = up.join(up.select(F.col("c").alias("to"), F.col("to").alias("next")), "to")
+            far = cut(jump.groupBy("c").agg(F.max("next").alias("to")))  # one each; a fold keeps the optimizer's constraints few
             done = far.join(up.withColumnRenamed("to", "old"), "c").where("to <> old").isEmpty()
             up = far
             if done:
