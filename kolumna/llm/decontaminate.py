@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolumna.llm.common import clean_text, stored
+from kolumna.llm.common import clean_text, stored, tidy
 
 #: Items under Q characters have no q-gram; from Q to 2 * Q - 1 the budget is 0.
 Q, ERRORS, WINDOW, LEAST = 8, 0.08, 128, 8
@@ -281,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             out = stored(out, "leaks")
             held.unpersist()
         held = docs.sparkSession.sparkContext.broadcast(Index(items))  # bounded by BLOCK_CHARS
-        part = rows.mapInArrow(lambda it, index=held: _search(it, index.value), schema)
+        part = rows.mapInArrow(lambda it, index=held: tidy(_search(it, index.value)), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -303,5 +303,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             rows = stored(rows, "clean")
             held.unpersist()
         held = index = docs.sparkSession.sparkContext.broadcast(Index(items))
-        rows = rows.mapInArrow(lambda it, index=index: _clean_only(it, index.value), schema)
+        rows = rows.mapInArrow(lambda it, index=index: tidy(_clean_only(it, index.value)), schema)
     return rows.select("row.*")

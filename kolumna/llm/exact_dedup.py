@@ -1,7 +1,9 @@
 """Exact deduplication by skew-safe combining (DataFrame functions only).
 
-Equal means: the same text after lower-casing A-Z; a null text counts as empty. Three combining steps, each of which
-groups by the digest AND the whole normalised text, so a digest collision can never merge different texts:
+Equal means: the same text after lower-casing A-Z; a null text counts as empty. Digests are counted first. A bitmap of
+those that recur goes to every task: a row whose bit is not set has a text of its own, which need not travel. The others
+(all copies, and a few rows that share a bit by chance) go through three combining steps, each of which groups by the
+digest AND the whole normalised text, so a digest collision can never merge different texts:
 
 1. each task combines its own rows (the partial aggregate of step 2), one row per text and task;
 2. the task winners meet by (digest, salt), the salt being the task's number, so a text that fills a third of the table
@@ -9,7 +11,8 @@ groups by the digest AND the whole normalised text, so a digest collision can ne
 3. the salt winners, at most ``salts`` per text, meet by digest.
 
 Groups of one need nothing more. The decisions of larger groups return to the rows by a salted join on the digest. What
-travels for that has no texts: digests and ids. drop_exact() sends each whole row once, to meet the ids that go.
+travels for that has no texts: digests and ids. drop_exact() sends whole rows only where the bit of their digest is set,
+once, to meet the ids that go.
 
 Rows: an empty table gives an empty result. Ids may be null (smaller than all others) or repeated. Columns other than
 the two named may have any names.
@@ -23,6 +26,35 @@ from pyspark.sql import functions as F
 from kolumna.llm.common import ascii_lower, clean_text, stored
 
 SALTS = 16
+#: Bits of the bitmap for each digest that recurs, and bits at most (16 MB); a full one lets more rows travel, no fewer.
+BITS, MOST_BITS = 32, 2**27
+#: Bits in a row of the bitmap (fixed by Spark's bitmap functions).
+ROW_BITS = 32_768
+
+
+def _recurring(rows: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap in which the bit of every text that occurs more than once is set."""
+    again = rows.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("check")
+    again = stored(again, "recurring")
+    size = min(max(ROW_BITS, 1 << (BITS * again.count()).bit_length()), MOST_BITS)
+    at = F.pmod("check", F.lit(size))
+    at = again.select(F.floor(at / ROW_BITS).cast("int").alias("bucket"), (at % ROW_BITS).alias("at"))
+    bits = at.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    return stored(bits.withColumn("size", F.lit(size).cast("long")), "bitmap")
+
+
+def _sorted_out(rows: DataFrame, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose text may occur elsewhere, and those whose text does not."""
+    first = bitmap.first()
+    if first is None:
+        return rows.where(F.lit(False)), rows
+    at = F.pmod("check", F.lit(first["size"]))
+    own = F.broadcast(bitmap.drop("size"))  # bounded by MOST_BITS
+    met = rows.withColumn("bucket", F.floor(at / ROW_BITS).cast("int")).join(own, "bucket", "left")
+    at = (at % ROW_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), at % 8)).cast("int") % 2 == 1, F.lit(False))
+    return tuple(met.where(x).select(*rows.columns) for x in (may, ~may))
 
 
 def _winners(rows: DataFrame, salts: int) -> DataFrame:
@@ -67,16 +99,17 @@ def _at_every_salt(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, bitmap: DataFrame | None = None) -> DataFrame:
     """Every row with its group: doc_id, keep_id, group_size, kept, text_sha256.
 
     keep_id is the largest doc_id of the group (null ids are smaller than all others; a group of null ids has keep_id
     null). kept is true where doc_id equals keep_id, null-safely, so repeated rows of the kept id are all marked; see
-    drop_exact.
+    drop_exact. bitmap: that of _recurring, if it is there already.
     """
     rows = _digests(docs, id_col, text_col)
+    several, _ = _sorted_out(rows, _recurring(rows) if bitmap is None else bitmap)
     l = rows.withColumn("salt", _salt(salts)).drop("norm").alias("l")
-    r = _at_every_salt(_winners(rows, salts), salts).alias("r")
+    r = _at_every_salt(_winners(several, salts), salts).alias("r")
     joined = l.join(r, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("digest", "check", "salt")], "left")
     return joined.select(
         F.col("l.doc_id").alias("doc_id"),
@@ -90,14 +123,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """docs with one row of each group of equal texts: that of the largest id, and one of its repeated rows.
 
-    The groups are found without whole rows; what goes, and what is there several times, is few (id, digest) pairs. Every
-    row is sent once, to meet those pairs. Repeated rows of a kept id, where there are any, meet among themselves.
+    The groups are found without whole rows; what goes, and what is there several times, is few (id, digest) pairs. Rows
+    whose text may recur are sent once, to meet those pairs. Repeated rows of a kept id, if any, meet among themselves.
     """
-    groups = exact_groups(docs, id_col, text_col, salts).where("group_size > 1")
+    bitmap = _recurring(_digests(docs, id_col, text_col))
+    groups = exact_groups(docs, id_col, text_col, salts, bitmap).where("group_size > 1")
     pairs = groups.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again"))
     pairs = stored(pairs.where("again or not kept"), "exact")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = _digests(docs, id_col, text_col, whole).select("row", "doc_id", F.lower(F.hex("digest")).alias("text_sha256"))
+    rows, alone = _sorted_out(_digests(docs, id_col, text_col, whole).drop("norm"), bitmap)
+    rows = rows.select("row", "doc_id", F.lower(F.hex("digest")).alias("text_sha256"))
     l = rows.withColumn("salt", _salt(salts)).alias("l")
 
     def meeting(some: DataFrame, how: str) -> DataFrame:
@@ -105,7 +140,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
         return l.join(r, same & (F.col("l.text_sha256") == F.col("r.text_sha256")) & (F.col("l.salt") == F.col("r.salt")), how)
 
-    out = meeting(pairs, "left_anti").select("row.*")
+    out = alone.select("row.*").unionByName(meeting(pairs, "left_anti").select("row.*"))
     several = pairs.where("kept")
     if several.isEmpty():
         return out

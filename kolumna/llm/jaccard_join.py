@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kolumna.llm.common import clean_text, stored
+from kolumna.llm.common import clean_text, free, stored, stored_parts, tidy
 from kolumna.llm.components import components
 
 WORDS, NUM, DEN = 5, 4, 5
@@ -46,6 +46,8 @@ FLUSH = 250_000
 #: Rows of either side of a tile in which remaining pairs are compared.
 TILE = 256
 SALTS = 16
+#: Keys are sorted by so many slices of the key space in turn, which bounds the shuffle files and spills on disk.
+SLICES = 4
 #: More ids than this are not broadcast but joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -319,7 +321,7 @@ def tile_links(ids: list, labels: list, roles: list, sets: list[np.ndarray], num
     _, token, times = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
     number = np.cumsum(times > 1) - 1  # hashes that only one set has cannot meet
     owner, token = owner[times[token] > 1], number[token[times[token] > 1]]
-    both, step = np.zeros(may.shape, np.int64), 16384
+    both, step = np.zeros(may.shape, np.int64), 4096
     for at in range(0, int((times > 1).sum()), step):  # in slices, so that memory is bounded
         m = np.zeros((len(rows), step), np.float32)
         own = (token >= at) & (token < at + step)
@@ -418,7 +420,7 @@ def jaccard_components(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(F.col(text_col)).cast("binary").alias("text"))
     documents = rows.count() if documents is None else documents
-    filed = stored(rows.mapInArrow(lambda it: _file(it, n, num, den, documents), SCHEMA), "filed", "what")
+    filed = stored(rows.mapInArrow(lambda it: tidy(_file(it, n, num, den, documents)), SCHEMA), "filed", "what")
     sets = filed.where("what = 'set'").select(F.col("key").alias("f1"), "f2", F.col("id").alias("doc_id"), "n", "local")
     classes = (
         sets.where("n > 0 and doc_id is not null")
@@ -428,9 +430,15 @@ def jaccard_components(
 
     # keys with company: what each task has combined meets here, at most a row for each key and task
     mine = Window.partitionBy("key")
-    sent = filed.where("what = 'key'").select("key", "id", "n", F.count(F.lit(1)).over(mine).alias("c"))
-    members = sent.where("c > 1 or n = 1").select("key", "id").unionByName(filed.where("what = 'member'").select("key", "id"))
-    members = stored(members, "members")
+
+    def met(s: int) -> DataFrame:
+        own = filed.where(F.pmod("key", F.lit(SLICES)) == s)
+        sent = own.where("what = 'key'").select("key", "id", "n", F.count(F.lit(1)).over(mine).alias("c"))
+        return sent.where("c > 1 or n = 1").select("key", "id").unionByName(own.where("what = 'member'").select("key", "id"))
+
+    members = met_members = stored_parts([met(s) for s in range(SLICES)], "members")
+    free(filed, "what=key")
+    free(filed, "what=member")
     # many keys of a family have the same members: one of them is enough
     low = lambda seed: F.sum(F.xxhash64("id", F.lit(seed)).bitwiseAND(0xFFFFFFFF))
     groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), low(1).alias("s1"), low(2).alias("s2"))
@@ -438,17 +446,19 @@ def jaccard_components(
     weight = members.groupBy("id").agg(F.count(F.lit(1)).alias("w"))
     members = members.join(kept, "key").join(weight, "id")
     members = stored(members, "members")
+    free(met_members)
     best = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("best"))
     led = stored(members.join(best.select("key", (-F.col("best.i")).alias("leader")), "key").select("key", "c", "id", "leader"), "led")
+    free(members)
     pairs = led.where("id <> leader").select("id", "leader").distinct()
 
     ids = pairs.select(F.col("id").alias("doc_id")).unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct()
     hashed = _texts_of(rows, ids).mapInArrow(
-        lambda it: _hashed(it, n, num, den), "id long, h binary, sketches binary, size int"
+        lambda it: tidy(_hashed(it, n, num, den)), "id long, h binary, sketches binary, size int"
     )
     hashed = stored(hashed, "hashed")
     pairs = _with_both(pairs.withColumnRenamed("leader", "other"), hashed, "sketches", "size")
-    pairs = stored(pairs.mapInArrow(lambda it: _near(it, num, den), "id long, other long"), "near")
+    pairs = stored(pairs.mapInArrow(lambda it: tidy(_near(it, num, den)), "id long, other long"), "near")
     links = _checked(pairs, hashed, num, den)
 
     # copies that different tasks have combined, and ids with several texts
@@ -467,6 +477,8 @@ def jaccard_components(
     if more is not None:
         label = components(links.unionByName(more))
     label = stored(label, "label")
+    for dead in (led, pairs, hashed, links):
+        free(dead)
 
     # each class's component goes back to its rows; rows alone in class and component need none
     found = (
@@ -497,7 +509,7 @@ def _with_both(pairs: DataFrame, hashed: DataFrame, *columns: str) -> DataFrame:
 
 def _checked(pairs: DataFrame, hashed: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs (id, other) whose whole sets are similar enough."""
-    return _with_both(pairs, hashed, "h").mapInArrow(lambda it: _verify(it, num, den), "a long, b long")
+    return _with_both(pairs, hashed, "h").mapInArrow(lambda it: tidy(_verify(it, num, den)), "a long, b long")
 
 
 def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame | None:
@@ -530,11 +542,11 @@ def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, de
     # first by the short sketches, which clear away nearly all pairs that are no links, then by whole sets
     tiles = left.unionByName(right).join(hashed, "id").select("key", "u", "v", "id", "label", "role", "size", "sketches")
     tile = "key long, u int, v int, id long, label long, role int, other long"
-    hope = stored(sort(tiles).mapInArrow(lambda it: _hopeful(it, num, den), tile), "hope")
+    hope = stored(sort(tiles).mapInArrow(lambda it: tidy(_hopeful(it, num, den)), tile), "hope")
     pairs = hope.where("other is not null").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
     links = _checked(pairs.distinct(), hashed, num, den)
     dense = hope.where("other is null").join(hashed.select("id", "h"), "id").select("key", "u", "v", "id", "label", "role", "h")
-    links = links.unionByName(sort(dense).mapInArrow(lambda it: _tiles(it, num, den), "a long, b long"))
+    links = links.unionByName(sort(dense).mapInArrow(lambda it: tidy(_tiles(it, num, den)), "a long, b long"))
     links = stored(links.distinct(), "more")
     return None if links.isEmpty() else links
 

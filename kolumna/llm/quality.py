@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolumna.llm.common import clean_text, fold, stored
+from kolumna.llm.common import clean_text, fold, stored, tidy
 from kolumna.llm.models import calibrated, isotonic
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.03, 1.0, 17
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_LAB
     features = Features(*(np.array([stats[f"{k}{j}"] for j in range(_NAMES)]) for k in "ms"))
     # bounded: at most limit rows of _NAMES numbers, dealt to PARTS tasks that each send one pair of sums
     learn = rows.where(f"part % 4 <> 0").repartition(PARTS, "part")
-    sums = learn.mapInArrow(lambda it: _normal_equations(it, features), "a binary, b binary").collect()
+    sums = learn.mapInArrow(lambda it: tidy(_normal_equations(it, features)), "a binary, b binary").collect()
     a = sum((np.frombuffer(r["a"]).reshape(FEATURES + 1, -1) for r in sums), np.zeros((FEATURES + 1, FEATURES + 1)))
     b = sum((np.frombuffer(r["b"]) for r in sums), np.zeros(FEATURES + 1))
     w = np.linalg.solve(a + RIDGE * np.eye(FEATURES + 1), b)
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _score(it, model, 1), f"doc_id {kind}, score double")
+    return rows.mapInArrow(lambda it: tidy(_score(it, model, 1)), f"doc_id {kind}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, least: float = 0.3) -> DataFrame:
@@ -177,4 +177,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, least: float =
     """docs without the rows that quality_scores() predicts as 0; columns and rows otherwise unchanged."""
     model = fit(docs, labels, folds, text_col=text_col)
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _good(it, model, at, least), docs.schema)
+    return docs.mapInArrow(lambda it: tidy(_good(it, model, at, least)), docs.schema)

@@ -63,5 +63,6 @@ def on_workers(spark: SparkSession) -> SparkSession:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may hold long texts
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # buffers of the JVM beside its heap
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     return spark

@@ -2,6 +2,7 @@
 
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kolumna.llm import decontaminate, exact_dedup, html_text, jaccard_join, pii, secrets, sentencepiece_scan
+from kolumna.llm.common import shared_folder, stored
 from kolumna.session import on_workers
 from tests.llm.test_text_operators import brute_components
 
@@ -236,3 +238,41 @@ def test_either_allocation_finds_the_same_components(spark, documents):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df, 3, 4, 5, documents=documents).collect()}
     sizes, label = brute_components(texts, 3, 4, 5)
     assert [got[i] for i in range(len(texts))] == list(zip(sizes, label))
+
+
+def disk_files(spark, ending):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().endswith(ending)}
+
+
+def test_tables_in_the_shared_folder_leave_no_shuffle_files(spark):
+    before = disk_files(spark, ".data")
+    df = spark.range(20_000).repartition(3).groupBy((F.col("id") % 1000).alias("k")).count()
+    few = stored(df, "few")
+    for _ in range(50):  # files go in the background
+        if not (left := {f for f in disk_files(spark, ".data") - before if f.startswith("shuffle_")}):
+            break
+        time.sleep(0.1)
+    assert not left and len(few.collect()) == 1000
+
+
+def test_keys_are_gone_once_near_copies_are_found(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 40) for _ in range(30)]
+    df = on_workers(spark).createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])], "doc_id long, text string")
+    old = set(Path(shared_folder(spark)).glob("kolumna/filed-*/what=*"))
+    assert jaccard_join.drop_near_copies(df).count() == 30
+    assert {p.name for p in set(Path(shared_folder(spark)).glob("kolumna/filed-*/what=*")) - old} == {"what=set"}
+
+
+def test_texts_of_their_own_do_not_travel(spark):
+    """Only rows whose digest's bit is set meet others; the result is that of whole contents, whatever the bitmap's size."""
+    rows = [(i, f"Text {i if i >= 30 else i % 10}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    digests = exact_dedup._digests(df, "doc_id", "text")
+    several, alone = exact_dedup._sorted_out(digests, exact_dedup._recurring(digests))
+    met, apart = {r["doc_id"] for r in several.collect()}, {r["doc_id"] for r in alone.collect()}
+    assert met | apart == set(range(400)) and not met & apart and set(range(30)) <= met and len(met) < 50
+    groups = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(df).collect()}
+    assert groups == {i: (20 + i % 10, 3) if i < 30 else (i, 1) for i in range(400)}
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact(df).collect()) == list(range(20, 400))
