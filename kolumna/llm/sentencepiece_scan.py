@@ -6,7 +6,7 @@ those at its right edge, a state being the number of characters by which a piece
 combine associatively, so
 
 * a text of more than GIANT characters is cut into chunks of CHUNK characters, wherever the cuts fall. Each chunk yields
-  its transfer matrix; prefix products, by doubling, give the best score of every state at every cut; from these each
+  its transfer matrix; prefix products, by halving, give the best score of every state at every cut; from these each
   chunk is solved and traced back on its own (``best_chunked``). GROUP chunks are held at a time;
 * in a shorter text a word, between edges that no piece crosses, is a 1x1 matrix: words are solved independently (all
   distinct words of a batch at once, as array operations) and remembered. Unbroken runs over RUN are cut, too.
@@ -28,19 +28,22 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolumna.llm.common import clean_text
+from kolumna.llm.common import clean_text, tidy
 
 SPACE = "▁"
 CHUNK, GROUP, GIANT, RUN = 256, 1024, 32_768, 2048
-REMEMBERED = 400_000
+#: Words remembered before the older ones go that have not been met since.
+REMEMBERED = 100_000
 #: Log-probabilities are kept as whole multiples of 1 / UNIT.
 UNIT, RANK_SHIFT = 1e6, 10
 #: An unknown character costs this much more than the worst piece (fixed value of the library).
@@ -250,11 +253,13 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def prefixes(matrices: np.ndarray) -> np.ndarray:
-    """The product of each matrix with all before it, by doubling: every step joins products of twice as many."""
-    out, step = matrices, 1
-    while step < len(out):
-        out = np.concatenate([out[:step], np.maximum(combine(out[:-step], out[step:]), _NEVER)])
-        step *= 2
+    """The product of each matrix with all before it, by halving: those of pairs give every second one, a product more the rest."""
+    if len(matrices) < 2:
+        return matrices
+    out = matrices.copy()
+    out[1::2] = prefixes(np.maximum(combine(matrices[:-1:2], matrices[1::2]), _NEVER))
+    rest = matrices[2::2]
+    out[2::2] = np.maximum(combine(out[1::2][: len(rest)], rest), _NEVER)
     return out
 
 
@@ -317,19 +322,42 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: The ids of each word solved, packed as 32-bit numbers; and the words that decoding would not give again.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
 
     def split(self, text: str) -> list[str]:
         return self.v.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x, _ in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """The ids of each text as 32-bit numbers, and whether decoding them gives the text again.
+
+        Words are decoded when they are solved: a text comes back if its words, joined, are the text and each comes back.
+        """
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         parts = [None if len(t) > GIANT else self.split(t) for t in texts]
-        new = list({w for p in parts if p for w in p if w not in self.known})
-        self.known.update(zip(new, best_words(new, self.v)))
-        known = self.known
-        return [list(best_chunked(SPACE + t.replace(" ", SPACE), self.v)) if p is None else [i for w in p for i in known[w]] for p, t in zip(parts, texts)]
+        known, older, lossy = self.known, self.older, self.lossy
+        new = list({w for p in parts if p for w in p if w not in known})
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older]
+        found = best_words(new, self.v)
+        known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, found))
+        if surface(list(chain.from_iterable(found)), self.v) != "".join(new):
+            lossy.update(w for w, ids in zip(new, found) if surface(ids, self.v) != w)
+        out = []
+        for p, t in zip(parts, texts):
+            if p is None:
+                ids = best_chunked(SPACE + t.replace(" ", SPACE), self.v)
+                out.append((np.array(ids, np.int32).tobytes(), decode(ids, self.v) == t))
+            else:
+                back = SPACE not in t and (not t or sum(map(len, p)) == len(t) + 1) and (not lossy or lossy.isdisjoint(p))
+                out.append((b"".join(map(known.__getitem__, p)), back))
+        return out
 
 
 def surface(ids, v: Vocabulary) -> str:
@@ -361,15 +389,15 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, check: bool)
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             texts = [t.decode("utf-8", "replace") for t in part.column(at).to_pylist()]
-            ids = own(texts)
-            size = np.array([len(x) for x in ids], np.int32)
-            flat = pa.array(np.fromiter((y for x in ids for y in x), np.int32, int(size.sum())))
+            ids = own.packed(texts)
+            size = np.array([len(x) // 4 for x, _ in ids], np.int32)
+            flat = pa.array(np.frombuffer(b"".join([x for x, _ in ids]), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), flat)
             rest = [i for i in range(batch.num_columns) if i != at]
             columns = [*(part.column(i) for i in rest), lists, pa.array(size.astype(np.int64))]
             names = [*(batch.schema.names[i] for i in rest), "ids", "n_tokens"]
             if check:
-                columns.append(pa.array([decode(x, own.v) == t for x, t in zip(ids, texts)], pa.bool_()))
+                columns.append(pa.array([back for _, back in ids], pa.bool_()))
                 names.append("round_trip")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -379,7 +407,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     path = model or default_model()
     rows = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _encode(it, path, 1, True), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return rows.mapInArrow(lambda it: tidy(_encode(it, path, 1, True)), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def with_tokens(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
@@ -387,7 +415,7 @@ def with_tokens(docs: DataFrame, model: str | None = None, text_col: str = "text
     path = model or default_model()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), clean_text(F.col(text_col)).cast("binary").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(lambda it: _encode(it, path, 1, False), f"row {kind}, ids array<int>, n_tokens long")
+    out = rows.mapInArrow(lambda it: tidy(_encode(it, path, 1, False)), f"row {kind}, ids array<int>, n_tokens long")
 
     def free_name(name: str) -> str:
         taken = {c.lower() for c in docs.columns}

@@ -276,3 +276,14 @@ def test_texts_of_their_own_do_not_travel(spark):
     groups = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(df).collect()}
     assert groups == {i: (20 + i % 10, 3) if i < 30 else (i, 1) for i in range(400)}
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact(df).collect()) == list(range(20, 400))
+
+
+def test_prefix_products_take_two_products_a_matrix(monkeypatch):
+    m = np.random.default_rng(3).integers(-50, 0, (64, 4, 4)).astype(float)
+    done, combine = [], sentencepiece_scan.combine
+    monkeypatch.setattr(sentencepiece_scan, "combine", lambda a, b: done.append(len(a)) or combine(a, b))
+    got = sentencepiece_scan.prefixes(m)
+    want = [m[0]]
+    for x in m[1:]:
+        want.append(combine(want[-1], x))
+    assert np.array_equal(got, np.stack(want)) and sum(done) < 2 * len(m)
