@@ -5,14 +5,15 @@ Training counts (all training rows; each text ends with an end token):
 2. pairs of neighbours among the CLUSTERED most frequent words (all others stand for their class of rare words, by
    length): at most (CLUSTERED + RARE + 1)**2 counts, whatever the corpus, which the driver clusters: each word in turn
    moves to the class that raises the likelihood of class pairs most, until a round moves few;
-3. classes before and after each of the other REMEMBERED most frequent words, added up by word; each of these words is
-   exchanged into the class that raises the likelihood most, given those of step 2 (on executors, word by word);
-4. class transitions of the whole corpus under all these classes.
+3. classes before and after every other word of the corpus, added up by word; each is exchanged into the class that
+   raises the likelihood most, given those of step 2 (on executors, word by word; a neighbour beyond the REMEMBERED most
+   frequent words stands for its length there);
+4. class transitions of the whole corpus under all these classes. A word that occurs once and is not remembered also
+   counts as one of its length, which is what words never seen are taken for.
 
-P(text) = product over tokens of P(class | previous class) * P(word | class), both with additive smoothing; words beyond
-the REMEMBERED ones, and unseen ones with count 0, have the class of rare words of their length. The counts and classes
-of the REMEMBERED most frequent words go to every task; the other words of each row are joined to the count table, once
-per distinct word.
+P(text) = product over tokens of P(class | previous class) * P(word | class), both with additive smoothing; unseen words,
+with count 0, have the class of rare words of their length. The counts and classes of the REMEMBERED most frequent words
+go to every task; the other words of each row meet the table of counts and classes, once per distinct word.
 
 Rows: a null text counts as empty (its one token is the end). Ids may be null or repeated: rows are kept apart by
 position. Other columns, whatever their names, are not looked at. Without training rows all counts are 0; an empty table
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolumna.llm.common import clean_text, fold, stored
+from kolumna.llm.common import clean_text, fold, free, stored
 
 CLUSTERED, CLASSES, RARE, REMEMBERED, ROUNDS = 1500, 48, 16, 65_536, 8
 #: Additive smoothing of words and of class transitions.
@@ -74,13 +75,12 @@ def _units(column: pa.Array, ids: Ids) -> Iterator[np.ndarray]:
         yield np.array(seq, np.int64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], words: list[bytes], own: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring units or, if own has their classes, of neighbouring classes, as left * size + right."""
+def _pairs(batches: Iterator[pa.RecordBatch], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring units, as left * size + right."""
     ids = Ids(words)
-    size = ids.end + 1 if own is None else int(own.max()) + 1
+    size = ids.end + 1
     for batch in batches:
         for s in _units(batch.column(0), ids):
-            s = s if own is None else own[s]
             pair, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
@@ -101,6 +101,25 @@ def _contexts(batches: Iterator[pa.RecordBatch], words: list[bytes], clustered:
         yield pa.RecordBatch.from_arrays([pa.array(key // (2 * size)), pa.array(key % (2 * size)), pa.array(n.astype(np.int64))], names=["word", "context", "n"])
 
 
+def _other_contexts(batches: Iterator[pa.RecordBatch], words: list[bytes], own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """As _contexts, by word, for the words that ``words`` does not hold."""
+    ids = Ids(words)
+    size = int(own.max()) + 1
+    for batch in batches:
+        c: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            tokens = words_of(text)
+            s = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+            at = np.flatnonzero(s >= ids.n)
+            near = own[np.r_[ids.end, s, ids.end]]
+            for i, before, after in zip(at.tolist(), near[at].tolist(), near[at + 2].tolist()):
+                c[tokens[i], before] += 1
+                c[tokens[i], size + after] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w for w, _ in c], pa.binary()), pa.array([x for _, x in c], pa.int64()), pa.array(list(c.values()), pa.int64())], names=["word", "context", "n"]
+        )
+
+
 def _classed(batches: Iterator[pa.RecordBatch], follows: np.ndarray, precedes: np.ndarray, log_size: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The best class of each word (columns: word, its contexts, their counts).
 
@@ -169,7 +188,7 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, words: int, cla
 class Model:
     """What every task needs: the remembered words' counts, classes and the smoothed log10 tables."""
 
-    def __init__(self, remembered: dict[bytes, int], words: list[bytes], own: np.ndarray, g: np.ndarray, n: np.ndarray, v: np.ndarray, tokens: int, distinct: int):
+    def __init__(self, remembered: dict[bytes, int], words: list[bytes], own: np.ndarray, n: np.ndarray, v: np.ndarray, tokens: int, distinct: int):
         """own: the class of each unit of Ids(words)."""
         self.remembered = list(remembered)
         self.log_count = np.log10(np.array(list(remembered.values()), np.float64) + WORD_PRIOR)
@@ -178,57 +197,154 @@ class Model:
         self.word_class = np.array([own[ids[w]] for w in self.remembered], np.int64) if remembered else np.empty(0, np.int64)
         self.rare_class = own[ids.n : ids.n + RARE]
         self.end_class = int(own[ids.end])
-        self.transition = np.log10((g + CLASS_PRIOR) / (g.sum(1, keepdims=True) + CLASS_PRIOR * len(g)))
         self.log_class = np.log10(n + WORD_PRIOR * (v + 1))  # emission: log10(c + prior) - this
         self.tokens, self.distinct = tokens, distinct
         self.log_all = math.log10(tokens + WORD_PRIOR * (distinct + 1))
+        self.transition = np.zeros((len(n), len(n)))
 
+    def learn(self, g: np.ndarray) -> None:
+        """Takes the counts of class pairs."""
+        self.transition = np.log10((g + CLASS_PRIOR) / (g.sum(1, keepdims=True) + CLASS_PRIOR * len(g)))
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """A row for each text (what: text) with what the remembered words give, and one for each other distinct word of it."""
+
+def _coded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """A row for each text (what: text) with its tokens' classes, and one for each distinct word of it that is not remembered.
+
+    Such a word, the text's number k of them, stands as -1 - k among the classes (its column hole has k).
+    """
     index = {w: i for i, w in enumerate(model.remembered)}
-    known = len(index)
-    rare = np.minimum(np.arange(0, RARE + 1), RARE)  # length -> class of rare words
-    log_count = np.r_[model.log_count, np.zeros(RARE)]
-    classes = np.r_[model.word_class, model.rare_class[np.maximum(rare[1:] - 1, 0)]]
     end_log = float(model.log_count[index[END]]) if END in index else math.log10(WORD_PRIOR)
     row = TaskContext.get().partitionId() << 40
-    names = ["what", "row", "doc_id", "n_tokens", "n_known", "logs", "path", "word", "tf"]
+    names = ["what", "row", "doc_id", "n_tokens", "n_known", "logs", "codes", "word", "tf", "hole"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            texts, others = [], ([], [], [])
+            texts, others = [], ([], [], [], [])
             for text in part.column(1).to_pylist():
                 words = words_of(text)
                 code = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
                 new = np.flatnonzero(code < 0)
+                old = code[code >= 0]
+                codes = np.empty(len(words), np.int32)
+                codes[code >= 0] = model.word_class[old]
                 if len(new):
                     own = [words[i] for i in new]
-                    code[new] = [known + min(len(w), RARE) - 1 for w in own]
                     tf = Counter(own)
+                    number = dict(zip(tf, range(len(tf))))
+                    codes[new] = [-1 - number[w] for w in own]
                     others[0].extend([row] * len(tf))
                     others[1].extend(tf)
                     others[2].extend(tf.values())
-                cls = np.r_[model.end_class, classes[code], model.end_class]
-                path = model.transition[cls[:-1], cls[1:]].sum() - model.log_class[cls[1:]].sum()
-                n_known = len(code) - len(new) + (END in index)
-                texts.append((row, len(words) + 1, n_known, float(log_count[code].sum()) + end_log, float(path)))
+                    others[3].extend(range(len(tf)))
+                n_known = len(old) + (END in index)
+                texts.append((row, len(words) + 1, n_known, float(model.log_count[old].sum()) + end_log, codes.tobytes()))
                 row += 1
             cols = list(zip(*texts)) if texts else [()] * 5
-            m = len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["text"] * m, pa.string()), pa.array(cols[0], pa.int64()), part.column(0), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=names,
-            )
-            k = len(others[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["word"] * k, pa.string()), pa.array(others[0], pa.int64()), pa.nulls(k, part.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                 pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(others[1], pa.binary()), pa.array(others[2], pa.int64())], names=names,
-            )
+            m, k = len(texts), len(others[0])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+            of_text = [pa.array(c, kind) for c, kind in zip(cols, kinds)]
+            none = [pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(["text"] * m, pa.string()), of_text[0], part.column(0), *of_text[1:], *none], names=names)
+            none = [pa.nulls(k, part.column(0).type), *(pa.nulls(k, kind) for kind in kinds[1:])]
+            of_word = [pa.array(others[1], pa.binary()), pa.array(others[2], pa.int64()), pa.array(others[3], pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(["word"] * k, pa.string()), pa.array(others[0], pa.int64()), *none, *of_word], names=names)
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last three columns (codes, holes, what belongs into each) as codes without holes."""
+    for batch in batches:
+        out = []
+        for codes, holes, values in zip(*(batch.column(i).to_pylist() for i in (-3, -2, -1))):
+            x = np.frombuffer(codes, np.int32)
+            if holes:
+                to = np.empty(len(holes), np.int32)
+                to[holes] = values
+                x = x.copy()
+                x[x < 0] = to[-1 - x[x < 0]]
+            out.append(x.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.binary())], names=batch.schema.names[:-2])
+
+
+def _class_pairs(batches: Iterator[pa.RecordBatch], t: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring classes (left * t + right) in filled codes, where c + l * t is class c, seen once, of length l."""
+    for batch in batches:
+        keys = [np.empty(0, np.int64)]
+        for codes in batch.column(0).to_pylist():
+            s = np.r_[end, np.frombuffer(codes, np.int32), end].astype(np.int64)
+            cls = s % t
+            once = np.flatnonzero(s >= t)
+            length = end - RARE + s[once] // t - 1
+            keys += [cls[:-1] * t + cls[1:], cls[once - 1] * t + length, length * t + cls[once + 1]]
+        pair, n = np.unique(np.concatenate(keys), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+
+def _paths(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """The last column, filled codes, as the path: what class transitions and sizes add to the text's score."""
+    t = len(model.log_class)
+    for batch in batches:
+        out = []
+        for codes in batch.column(batch.num_columns - 1).to_pylist():
+            cls = np.r_[model.end_class, np.frombuffer(codes, np.int32) % t, model.end_class]
+            out.append(float(model.transition[cls[:-1], cls[1:]].sum() - model.log_class[cls[1:]].sum()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "path"])
 
 
 def fit(training: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, remembered: int = REMEMBERED) -> tuple[Model, DataFrame]:
-    """The model, and the table (word, c) of all training words. training: one binary column, text."""
+    """The model, and the table (word, c, class) of all training words. training: one binary column, text."""
+    model, counts = classify(training, clustered, classes, remembered)
+    model.learn(transitions(filled(training.select(F.lit(0).alias("doc_id"), "text"), model, counts), model))
+    return model, counts
+
+
+def filled(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, logs, codes of every row (doc_id, text): its tokens' classes (see _class_pairs)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters
+    schema = f"what string, row long, doc_id {kind}, n_tokens long, n_known long, logs double, codes binary, word binary, tf long, hole int"
+    coded = stored(rows.select("doc_id", "text").mapInArrow(lambda it: _coded(it, shared.value), schema), "scored", "what")
+    t = len(model.log_class)
+    length = F.least(F.octet_length("word"), F.lit(RARE))
+    value = F.coalesce("class", length + (t - RARE - 2)) + F.when(F.col("c") == 1, length * t).otherwise(0)
+    others = (
+        coded.where("what = 'word'")
+        .select("row", "word", "tf", "hole")
+        .join(counts, "word", "left")
+        .withColumn("value", value)
+        .groupBy("row")
+        .agg(
+            F.sum(F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + WORD_PRIOR)).alias("more"),
+            F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("seen"),
+            F.collect_list(F.struct("hole", "value")).alias("into"),  # no more than the text's words
+        )
+    )
+    texts = coded.where("what = 'text'").select("row", "doc_id", "n_tokens", "n_known", "logs", "codes").join(others, "row", "left")
+    texts = texts.select(
+        "doc_id",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"),
+        "codes",
+        F.col("into.hole").alias("holes"),
+        F.col("into.value").alias("values"),
+    )
+    out = stored(texts.mapInArrow(_fill, f"doc_id {kind}, n_tokens long, n_known long, logs double, codes binary"), "filled")
+    free(coded)
+    return out
+
+
+def transitions(texts: DataFrame, model: Model) -> np.ndarray:
+    """Counts of class pairs in filled texts."""
+    t, end = len(model.log_class), model.end_class
+    pairs = texts.select("codes").mapInArrow(lambda it: _class_pairs(it, t, end), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = pairs["pair"].to_numpy().astype(np.int64), pairs["n"].to_numpy().astype(np.float64)  # t**2 at most
+    g = np.zeros((t, t))
+    np.add.at(g, (pair // t, pair % t), n)
+    return g
+
+
+def classify(training: DataFrame, clustered: int, classes: int, remembered: int) -> tuple[Model, DataFrame]:
+    """The model without class transitions, and the table (word, c, class; class is null for remembered words)."""
     counts = training.mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = stored(counts.where("c > 0"), "words")
     length = F.least(F.octet_length("word"), F.lit(RARE))
@@ -248,12 +364,13 @@ def fit(training: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES,
     words = frequent + [w for w in kept if w != END][len(frequent) :]
     by_length = k + np.array([min(len(w), RARE) - 1 for w in words[len(frequent) :]], np.int64)
     own = np.concatenate([own[: len(frequent)], by_length, own[len(frequent) :]])
+    rest = None
+    if frequent and sum(r["v"] for r in whole) > len(kept):
+        g = _transitions(left, right, n, ids, own, by_length, t)
+        rest = _exchange_others(training, words, None, own, g, k)
     if len(by_length) and frequent:
-        own = _exchange_others(training, words, len(frequent), own, _transitions(left, right, n, ids, own, by_length, t), k)
-    pairs = training.mapInArrow(lambda it: _pairs(it, words, own), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pair, n = pairs["pair"].to_numpy().astype(np.int64), pairs["n"].to_numpy().astype(np.float64)  # t**2 at most
-    g = np.zeros((t, t))
-    np.add.at(g, (pair // t, pair % t), n)
+        g = _transitions(left, right, n, ids, own, by_length, t)
+        own = _exchange_others(training, words, len(frequent), own, g, k)
     n_class, v_class = np.zeros(t), np.zeros(t)
     for r in whole:
         c = k + r["length"] - 1 if r["length"] else k + RARE
@@ -265,8 +382,19 @@ def fit(training: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES,
         v_class[rare] -= 1
         n_class[c] += kept[w]
         v_class[c] += 1
+    if rest is None:
+        counts = counts.withColumn("class", F.lit(None).cast("int"))
+    else:  # words that are not remembered leave the class of their length, but those seen once stand for unseen ones, too
+        counts = stored(counts.join(rest, "word", "left"), "classes")
+        found = counts.where("class is not null").groupBy(length.alias("length"), "class")
+        for r in found.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
+            rare = k + r["length"] - 1
+            n_class[rare] += r["once"] - r["n"]
+            v_class[rare] += r["once"] - r["v"]
+            n_class[r["class"]] += r["n"]
+            v_class[r["class"]] += r["v"]
     tokens, distinct = sum(r["n"] for r in whole), sum(r["v"] for r in whole)
-    return Model(kept, words, own, g, n_class, v_class, tokens, distinct), counts
+    return Model(kept, words, own, n_class, v_class, tokens, distinct), counts
 
 
 def _transitions(left: np.ndarray, right: np.ndarray, n: np.ndarray, ids: Ids, own: np.ndarray, by_length: np.ndarray, t: int) -> np.ndarray:
@@ -277,17 +405,27 @@ def _transitions(left: np.ndarray, right: np.ndarray, n: np.ndarray, ids: Ids, o
     return g
 
 
-def _exchange_others(training: DataFrame, words: list[bytes], clustered: int, own: np.ndarray, g: np.ndarray, classes: int) -> np.ndarray:
-    """own, with the words from number ``clustered`` on in the class that raises the likelihood most."""
+def _exchange_others(training: DataFrame, words: list[bytes], clustered: int | None, own: np.ndarray, g: np.ndarray, classes: int) -> np.ndarray | DataFrame:
+    """own, with the words from number ``clustered`` on in the class that raises the likelihood most.
+
+    clustered None: (word, class) of the words that are not among ``words``, likewise.
+    """
     share = (g + CLASS_PRIOR) / (g.sum(1, keepdims=True) + CLASS_PRIOR * len(g))
     size = np.maximum(g.sum(0)[:classes], 1.0)
     held = training.sparkSession.sparkContext.broadcast(words)  # bounded by REMEMBERED
-    found = training.mapInArrow(lambda it: _contexts(it, held.value, clustered, own), "word long, context long, n long")
+    if clustered is None:
+        found = training.mapInArrow(lambda it: _other_contexts(it, held.value, own), "word binary, context long, n long")
+    else:
+        found = training.mapInArrow(lambda it: _contexts(it, held.value, clustered, own), "word long, context long, n long")
     found = found.groupBy("word", "context").agg(F.sum("n").alias("n"))
     found = found.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("c"))  # at most 2 * t contexts each
     found = found.select("word", F.col("c.context").alias("context"), F.col("c.n").alias("n"))
     log = np.log(share)
-    best = found.mapInArrow(lambda it: _classed(it, log, log, np.log(size)), "word long, class int").toArrow()
+    kind = found.schema["word"].dataType.simpleString()
+    best = found.mapInArrow(lambda it: _classed(it, log, log, np.log(size)), f"word {kind}, class int")
+    if clustered is None:
+        return stored(best, "rest")
+    best = best.toArrow()
     own = own.copy()
     own[best["word"].to_numpy()] = best["class"].to_numpy()
     return own
@@ -296,29 +434,20 @@ def _exchange_others(training: DataFrame, words: list[bytes], clustered: int, ow
 def lm_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
     """doc_id, held_out (crc32(doc_id) mod folds = 0), n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), clean_text(F.col(text_col)).cast("binary").alias("text"))
-    model, counts = fit(rows.where(fold(F.col("doc_id"), folds) != 0).select("text"), **params)
+    held_out = fold(F.col("doc_id"), folds) == 0
+    params = {"clustered": CLUSTERED, "classes": CLASSES, "remembered": REMEMBERED} | params
+    model, counts = classify(rows.where(~held_out).select("text"), **params)
+    texts = filled(rows, model, counts)
+    model.learn(transitions(texts.where(~held_out), model))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters
-    schema = f"what string, row long, doc_id {kind}, n_tokens long, n_known long, logs double, path double, word binary, tf long"
-    scored = stored(rows.mapInArrow(lambda it: _score(it, shared.value), schema), "scored", "what")
-    others = (
-        scored.where("what = 'word'")
-        .select("row", "word", "tf")
-        .join(counts, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + WORD_PRIOR)).alias("more"),
-            F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("seen"),
-        )
-    )
-    texts = scored.where("what = 'text'").select("row", "doc_id", "n_tokens", "n_known", "logs", "path").join(others, "row", "left")
-    logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts = texts.mapInArrow(lambda it: _paths(it, shared.value), f"doc_id {kind}, n_tokens long, n_known long, logs double, path double")
     return texts.select(
         "doc_id",
-        (fold(F.col("doc_id"), folds) == 0).alias("held_out"),
+        held_out.alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(model.log_all)).alias("base_score"),
-        (logs + F.col("path")).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(model.log_all)).alias("base_score"),
+        (F.col("logs") + F.col("path")).alias("score"),
     )

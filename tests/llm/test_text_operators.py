@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,3 +367,39 @@ def test_empty_tables(spark):
         pii.pii_report(none), quality.quality_scores(none, labels), toxicity.toxicity_scores(none, labels), language_model.lm_scores(none), sps.encode(none),
     ):
         assert out.count() == 0
+
+
+def test_every_training_word_has_a_class_by_its_neighbours(spark):
+    """No word is left to its length for being beyond the remembered ones: classes follow contexts, scores a recount."""
+    rng = random.Random(6)
+    left, right = [f"l{i:02}" for i in range(20)], [f"r{i:02}" for i in range(20)]
+    rows = [(" ".join(x for _ in range(8) for x in (rng.choice(left), rng.choice(right))).encode(),) for _ in range(80)]
+    model, counts = language_model.fit(on_workers(spark).createDataFrame(rows, "text binary"), clustered=16, classes=2, remembered=20)
+    table = {r["word"]: r["class"] for r in counts.collect()}
+    assert {w for w, c in table.items() if c is None} == set(model.remembered)
+    known = dict(zip(model.remembered, model.word_class.tolist())) | {w: c for w, c in table.items() if c is not None}
+    assert len({known[w.encode()] for w in left}) == len({known[w.encode()] for w in right}) == 1
+    assert known[b"l00"] != known[b"r00"]
+    df = spark.createDataFrame([(i, t.decode()) for i, (t,) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.lm_scores(df, folds=10**6, clustered=16, classes=2, remembered=20).collect()}
+    c = Counter(w for (t,) in rows for w in t.split())
+    g = np.zeros((19, 19))
+    paths = [[18, *(known[w] for w in t.split()), 18] for (t,) in rows]
+    for p in paths:
+        np.add.at(g, (p[:-1], p[1:]), 1)
+    n, v = np.zeros(19), np.zeros(19)
+    for w, x in [*c.items(), (b"", len(rows))]:
+        k = known[w] if w else 18
+        n[k] += x
+        v[k] += 1
+    move = np.log10((g + 0.5) / (g.sum(1, keepdims=True) + 0.5 * 19))
+    for i, ((t,), p) in enumerate(zip(rows, paths)):
+        emit = sum(math.log10((x + 0.1) / (n[k] + 0.1 * (v[k] + 1))) for x, k in zip([*(c[w] for w in t.split()), len(rows)], p[1:]))
+        assert math.isclose(got[i]["score"], emit + move[p[:-1], p[1:]].sum(), rel_tol=1e-9)
+
+
+def test_holes_are_filled_beside_large_classes():
+    codes = np.array([63, -1, 40, -2, -1], np.int32).tobytes()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "codes": [codes, b""], "holes": [[1, 0], None], "values": [[7, 5], None]})
+    (out,) = language_model._fill(iter([batch]))
+    assert [np.frombuffer(x, np.int32).tolist() for x in out["codes"].to_pylist()] == [[63, 5, 40, 7, 5], []]
