@@ -403,3 +403,79 @@ def test_holes_are_filled_beside_large_classes():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "codes": [codes, b""], "holes": [[1, 0], None], "values": [[7, 5], None]})
     (out,) = language_model._fill(iter([batch]))
     assert [np.frombuffer(x, np.int32).tolist() for x in out["codes"].to_pylist()] == [[63, 5, 40, 7, 5], []]
+
+
+def test_language_model_reads_texts_twice(spark):
+    """Once for the counts of words (training texts), once for the codes that all other steps work on."""
+    rng = random.Random(12)
+    texts, read = [prose(rng, 40) for _ in range(60)], spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = docs(spark, texts).select("doc_id", "text").mapInArrow(seen, "doc_id long, text string")
+    assert len(language_model.lm_scores(df, folds=10**6, clustered=8, classes=3, remembered=20).collect()) == 60
+    assert read.value == 120
+
+
+def test_language_model_scores_rare_and_unseen_words(spark):
+    """Words seen once, several times and never, beside a model that remembers few: scores by a recount."""
+    rng = random.Random(13)
+    texts = [" ".join([*prose(rng, rng.randrange(0, 30)).split(), *(f"{'x' * rng.randrange(1, 20)}{rng.randrange(60)}" for _ in range(rng.randrange(6)))]) for _ in range(90)] + EDGE
+    split = [(t or "").encode().lower().split() for t in texts]
+    learn = [zlib.crc32(str(i).encode()) % 3 != 0 for i in range(len(texts))]
+    kinds = {"clustered": 10, "classes": 3, "remembered": 40}
+    rows = [((t or "").encode(),) for t, x in zip(texts, learn) if x]
+    model, counts = language_model.fit(on_workers(spark).createDataFrame(rows, "text binary").repartition(3), **kinds)
+    table = {r["word"]: r["class"] for r in counts.collect()}
+    t, c = 3 + 16 + 1, Counter(w for s, x in zip(split, learn) if x for w in [*s, b""])
+    known = dict(zip(model.remembered, model.word_class.tolist())) | {w: k for w, k in table.items() if k is not None}
+    assert set(known) == set(c) and known[b""] == t - 1
+    length = lambda w: 3 + min(len(w), 16) - 1
+    once = {w for w, k in table.items() if k is not None and c[w] == 1}
+    assert once and any(w not in c for s in split for w in s)
+    g, n, v = np.zeros((t, t)), np.zeros(t), np.zeros(t)
+    for s, x in zip(split, learn):
+        p = [t - 1, *(known.get(w, -1) for w in s), t - 1]
+        if x:
+            np.add.at(g, (p[:-1], p[1:]), 1)
+            for i, w in enumerate(s):
+                if w in once:
+                    g[p[i], length(w)] += 1
+                    g[length(w), p[i + 2]] += 1
+    for w, x in c.items():
+        for k in [known[w], *([length(w)] if w in once else [])]:
+            n[k] += x
+            v[k] += 1
+    move = np.log10((g + 0.5) / (g.sum(1, keepdims=True) + 0.5 * t))
+    got = {r["doc_id"]: r for r in language_model.lm_scores(docs(spark, texts), folds=3, **kinds).collect()}
+    for i, s in enumerate(split):
+        p = [t - 1, *(known.get(w, length(w)) for w in s), t - 1]
+        emit = sum(math.log10((c[w] + 0.1) / (n[k] + 0.1 * (v[k] + 1))) for w, k in zip([*s, b""], p[1:]))
+        assert math.isclose(got[i]["score"], emit + move[p[:-1], p[1:]].sum(), rel_tol=1e-9), texts[i]
+        assert got[i]["n_known"] == sum(w in c for w in [*s, b""])
+
+
+def test_end_counts_when_other_words_are_more_frequent(spark):
+    texts = [" ".join(f"w{i}" for i in range(20)) + " " + " ".join(f"w{i}" for i in range(20))] * 3
+    got = language_model.lm_scores(docs(spark, texts), folds=10**6, clustered=4, classes=2, remembered=8).collect()
+    base = 40 * math.log10(6.1 / (123 + 2.2)) + math.log10(3.1 / (123 + 2.2))
+    assert all(r["n_known"] == 41 and math.isclose(r["base_score"], base, rel_tol=1e-9) for r in got)
+
+
+def test_words_that_span_batches_meet_all_their_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = sorted(b"w%03d" % x for x in rng.integers(0, 12, 60))
+    near = [rng.integers(0, 20, 2 * x).astype(np.uint8).tobytes() for x in rng.integers(0, 3, 60)]
+    whole = pa.RecordBatch.from_pydict({"word": words, "row": list(range(60)), "hole": [0] * 60, "near": near})
+    log_share = np.log(rng.random((19, 19)))
+    args = rng.permutation(np.arange(20) % 19), log_share, np.log([5.0, 7.0]), np.uint8
+    table = lambda batches: [r for b in language_model._placed(iter(batches), *args) for r in b.to_pylist()]
+    want = table([whole])
+    assert [r["word"] for r in want if r["word"]] == sorted(set(words))
+    assert {r["row"]: r["c"] for r in want} == {i: sum(len(x) // 2 for x, w in zip(near, words) if w == words[i]) for i in range(60)}
+    for rows, step in ((1, 1), (1, 7), (5, 3), (100, 2)):
+        monkeypatch.setattr(language_model, "ROWS", rows)
+        assert table([whole.slice(i, step) for i in range(0, 60, step)]) == want
