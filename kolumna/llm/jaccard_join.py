@@ -45,6 +45,10 @@ BAND = 1.5
 FLUSH = 250_000
 #: Rows of either side of a tile in which remaining pairs are compared.
 TILE = 256
+#: Rows of either side of a tile in which sketches are compared; what is left of it is parted into tiles of TILE.
+WIDE = 1024
+#: Joins with columns of texts are not parted into turns of fewer bytes than this.
+TURN = 256 << 20
 SALTS = 16
 #: Keys are sorted by so many slices of the key space in turn, which bounds the shuffle files and spills on disk.
 SLICES = 4
@@ -259,16 +263,21 @@ def _batch(what: str, key, id_, n, f2, local) -> pa.RecordBatch:
     )
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(id, its set as bytes of sorted 64-bit hashes, its sketches, its size)."""
+def _sketched(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(id, its sketches, its size)."""
     cache = WordHashes()
     for batch in batches:
         sets = [shingle_hashes(t.lower().split(), n, cache) for t in batch.column(1).to_pylist()]
         sketches = [sketches_of(h, num, den) if len(h) else b"" for h in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(sketches, pa.binary()), pa.array([len(h) for h in sets], pa.int32())],
-            names=["id", "h", "sketches", "size"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary()), pa.array([len(h) for h in sets], pa.int32())], names=["id", "sketches", "size"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(id, its set as bytes of sorted 64-bit hashes)."""
+    cache = WordHashes()
+    for batch in batches:
+        sets = [shingle_hashes(t.lower().split(), n, cache).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "h"])
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -380,7 +389,14 @@ def _hopeful(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         left, right, may = tile_hopeful(labels, roles, sizes, sketches, num, den)
         if may.sum() <= DENSE * len(rows):
             return [(None, None, None, ids[left[i]], None, None, ids[right[j]]) for i, j in np.argwhere(may)]
-        return [(*rows[i][:6], None) for i in np.r_[left[may.any(1)], right[may.any(0)]]]
+        key, u, v = rows[0][:3]
+        wide, out = 2 * WIDE // TILE, []  # a side is dealt by hash and holds somewhat more or fewer rows than WIDE
+        for i in range(0, len(left), TILE):
+            for j in range(0, len(right), TILE):
+                own = may[i : i + TILE, j : j + TILE]
+                at = (key, u * wide + i // TILE, v * wide + j // TILE)
+                out += [(*at, *rows[k][3:6], None) for k in np.r_[left[i : i + TILE][own.any(1)], right[j : j + TILE][own.any(0)]]]
+        return out
 
     names = ["key", "u", "v", "id", "label", "role", "other"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
@@ -450,16 +466,19 @@ def jaccard_components(
     best = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("best"))
     led = stored(members.join(best.select("key", (-F.col("best.i")).alias("leader")), "key").select("key", "c", "id", "leader"), "led")
     free(members)
-    pairs = led.where("id <> leader").select("id", "leader").distinct()
-
-    ids = pairs.select(F.col("id").alias("doc_id")).unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct()
-    hashed = _texts_of(rows, ids).mapInArrow(
-        lambda it: tidy(_hashed(it, n, num, den)), "id long, h binary, sketches binary, size int"
+    pairs = stored(led.where("id <> leader").select("id", F.col("leader").alias("other")).distinct(), "pairs")
+    sketched = _texts_of(rows, _ids_of(pairs)).mapInArrow(lambda it: tidy(_sketched(it, n, num, den)), "id long, sketches binary, size int")
+    sketched = stored(sketched, "sketched")
+    # a larger table has more unrelated sets in a key, so these pairs grow faster than it: they meet their sketches in turn
+    near = stored_parts(
+        [
+            _with_both(some, sketched, "sketches", "size").mapInArrow(lambda it: tidy(_near(it, num, den)), "id long, other long")
+            for some in _in_turn(pairs, sketched)
+        ],
+        "near",
     )
-    hashed = stored(hashed, "hashed")
-    pairs = _with_both(pairs.withColumnRenamed("leader", "other"), hashed, "sketches", "size")
-    pairs = stored(pairs.mapInArrow(lambda it: tidy(_near(it, num, den)), "id long, other long"), "near")
-    links = _checked(pairs, hashed, num, den)
+    free(pairs)
+    links = _checked(near, rows, n, num, den)
 
     # copies that different tasks have combined, and ids with several texts
     spread = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -473,11 +492,11 @@ def jaccard_components(
     links = stored(links.unionByName(same).unionByName(several).distinct(), "links")
     label = components(links)
 
-    more = _remaining(led, hashed, label, num, den)
+    more = _remaining(led, sketched, rows, label, n, num, den)
     if more is not None:
         label = components(links.unionByName(more))
     label = stored(label, "label")
-    for dead in (led, pairs, hashed, links):
+    for dead in (led, near, sketched, links):
         free(dead)
 
     # each class's component goes back to its rows; rows alone in class and component need none
@@ -507,12 +526,32 @@ def _with_both(pairs: DataFrame, hashed: DataFrame, *columns: str) -> DataFrame:
     return both.select("id", "other", *[f"{c}_{i}" for c in columns for i in (1, 2)])
 
 
-def _checked(pairs: DataFrame, hashed: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (id, other) whose whole sets are similar enough."""
-    return _with_both(pairs, hashed, "h").mapInArrow(lambda it: tidy(_verify(it, num, den)), "a long, b long")
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("id").alias("doc_id")).unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
+
 
+def _turns(rows: int, table: DataFrame, column: str) -> int:
+    """In how many turns so many rows meet the column of a table, so that a turn sends no more than about the column."""
+    total, own = table.agg(F.sum(F.length(column)), F.count(F.lit(1))).first()
+    return max(1, math.ceil(rows * ((total or 0) / max(own, 1)) / max(total or 0, TURN)))
 
-def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame | None:
+
+def _in_turn(pairs: DataFrame, table: DataFrame, column: str = "sketches") -> list[DataFrame]:
+    """The pairs in parts whose joins with the table's column take a bounded multiple of its bytes on disk at a time."""
+    k = _turns(pairs.count(), table, column)
+    return [pairs.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(k)) == i) for i in range(k)]
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those stored pairs (id, other) whose whole sets are similar enough; only the sets of their texts are written."""
+    hashed = stored(_texts_of(rows, _ids_of(pairs)).mapInArrow(lambda it: tidy(_hashed(it, n)), "id long, h binary"), "hashed")
+    parts = [_with_both(some, hashed, "h").mapInArrow(lambda it: tidy(_verify(it, num, den)), "a long, b long") for some in _in_turn(pairs, hashed, "h")]
+    links = stored_parts(parts, "checked")
+    free(hashed)
+    return links
+
+
+def _remaining(led: DataFrame, sketched: DataFrame, rows: DataFrame, label: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """Links among members of a key that are not yet in one component, beyond those with the leader; None if none."""
     own = label.select(F.col("node").alias("id"), F.col("component").alias("label"))
     lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead_label"))
@@ -528,8 +567,10 @@ def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, de
     if open_.isEmpty():
         return None
     open_ = open_.select(
-        "key", F.ceil(F.col("apart_n") / TILE).cast("int").alias("us"), F.ceil(F.col("all_n") / TILE).cast("int").alias("vs")
+        "key", "apart_n", "all_n", F.ceil(F.col("apart_n") / WIDE).cast("int").alias("us"), F.ceil(F.col("all_n") / WIDE).cast("int").alias("vs")
     )
+    dealt = open_.agg(F.sum(F.expr("apart_n * vs + all_n * us"))).first()[0]
+    open_ = open_.select("key", "us", "vs")
     # a key may have very many members: they are dealt out before they meet its line
     salt = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SALTS)).cast("int")
     spread = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -540,14 +581,25 @@ def _remaining(led: DataFrame, hashed: DataFrame, label: DataFrame, num: int, de
     right = rest.select("key", all_of("us").alias("u"), deal("vs").alias("v"), "id", "label", F.lit(1).alias("role"))
     sort = lambda df: df.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
     # first by the short sketches, which clear away nearly all pairs that are no links, then by whole sets
-    tiles = left.unionByName(right).join(hashed, "id").select("key", "u", "v", "id", "label", "role", "size", "sketches")
+    # rows of tiles grow with the square of a key's members: whole tiles take their turn, so that few are on disk at a time
+    turns = _turns(dealt, sketched, "sketches")
     tile = "key long, u int, v int, id long, label long, role int, other long"
-    hope = stored(sort(tiles).mapInArrow(lambda it: tidy(_hopeful(it, num, den)), tile), "hope")
+
+    def hopeful(turn: int) -> DataFrame:
+        own = left.unionByName(right).where(F.pmod(F.xxhash64("key", "u", "v"), F.lit(turns)) == turn)
+        tiles = own.join(sketched, "id").select("key", "u", "v", "id", "label", "role", "size", "sketches")
+        return sort(tiles).mapInArrow(lambda it: tidy(_hopeful(it, num, den)), tile)
+
+    hope = stored_parts([hopeful(i) for i in range(turns)], "hope")
     pairs = hope.where("other is not null").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
-    links = _checked(pairs.distinct(), hashed, num, den)
-    dense = hope.where("other is null").join(hashed.select("id", "h"), "id").select("key", "u", "v", "id", "label", "role", "h")
-    links = links.unionByName(sort(dense).mapInArrow(lambda it: tidy(_tiles(it, num, den)), "a long, b long"))
-    links = stored(links.distinct(), "more")
+    links = _checked(stored(pairs.distinct(), "pairs"), rows, n, num, den)
+    dense = hope.where("other is null")
+    hashed = _texts_of(rows, dense.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(lambda it: tidy(_hashed(it, n)), "id long, h binary")
+    hashed = stored(hashed, "hashed")
+    of_turn = lambda k, i: dense.where(F.pmod(F.xxhash64("key", "u", "v"), F.lit(k)) == i).join(hashed, "id").select("key", "u", "v", "id", "label", "role", "h")
+    k = _turns(dense.count(), hashed, "h")
+    more = stored_parts([sort(of_turn(k, i)).mapInArrow(lambda it: tidy(_tiles(it, num, den)), "a long, b long") for i in range(k)], "tiles")
+    links = stored(links.unionByName(more).distinct(), "more")
     return None if links.isEmpty() else links
 
 
