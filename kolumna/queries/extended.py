@@ -67,7 +67,7 @@ def _events_stream(t: Tables) -> DataFrame:
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY ALL")
 def stream_tumbling(t: Tables) -> DataFrame:
     w = streams.tumbling(_events_stream(t), "ts", "1 day", ["event_type"], n=F.count(F.lit(1)), v=F.sum("value"))
-    out = streams.run_to_memory(w)
+    out = streams.run_to_table(w)
     return out.select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("v", 2).alias("v"))
 
 
@@ -76,7 +76,7 @@ def stream_tumbling(t: Tables) -> DataFrame:
 )
 def stream_sliding(t: Tables) -> DataFrame:
     w = streams.sliding(_events_stream(t), "ts", "12 hours", "6 hours", [], n=F.count(F.lit(1)))
-    return streams.run_to_memory(w).select(F.unix_micros("start").alias("start"), "n")
+    return streams.run_to_table(w).select(F.unix_micros("start").alias("start"), "n")
 
 
 @query(
@@ -85,18 +85,18 @@ def stream_sliding(t: Tables) -> DataFrame:
 )
 def stream_sessions(t: Tables) -> DataFrame:
     w = streams.sessions(_events_stream(t), "ts", "12 hours", ["user_id"], n=F.count(F.lit(1)))
-    return streams.run_to_memory(w).select("user_id", F.unix_micros("start").alias("start"), "n")
+    return streams.run_to_table(w).select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
 @query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY 1")
 def stream_latest(t: Tables) -> DataFrame:
-    return streams.run_to_memory(streams.latest(_events_stream(t), ["user_id"], "ts", "event_type", "value"))
+    return streams.run_to_table(streams.latest(_events_stream(t), ["user_id"], "ts", "event_type", "value"))
 
 
 @query("SELECT event_id FROM events")
 def stream_deduplicated(t: Tables) -> DataFrame:
     once = streams.deduplicated(_events_stream(t), "event_id").select("event_id")
-    return streams.run_to_memory(once, "append")
+    return streams.run_to_table(once, "append")
 
 
 # graphs over whole tables: regions, nations and customers (a forest); parts and their suppliers as one set of numbers

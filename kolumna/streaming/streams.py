@@ -45,16 +45,33 @@ def deduplicated(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_to_memory(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now, into a table of the session, and give the table."""
-    name = f"s_{abs(hash(df)) % 10**9}"
-    folder = f"{shared_folder(df.sparkSession)}/stream-{os.urandom(6).hex()}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
-
-def for_each_chunk(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+def run_to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now, into files of the shared folder, and give them as a table.
+
+    No row passes through the driver. mode: complete (the rows of the last batch) or append (those of all batches).
+    """
+    if mode not in ("complete", "append"):
+        raise ValueError("mode is complete or append")
+    spark, schema = df.sparkSession, df.schema
+    folder = f"{shared_folder(spark)}/stream-{os.urandom(6).hex()}"
+    done: dict[int, str] = {}
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/rows/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        if mode == "complete":
+            for old in done.values():
+                if old != path:
+                    p = spark._jvm.org.apache.hadoop.fs.Path(old)
+                    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            done.clear()
+        done[number] = path
+
+    for_each_chunk(df, keep, f"{folder}/journal", mode=mode).awaitTermination()
+    return spark.read.schema(schema).parquet(*done.values()) if done else spark.createDataFrame([], schema)
+
+
+def for_each_chunk(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append"):
     """A callback per micro-batch; offsets in the checkpoint make it a replayable journal."""
-    w = df.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint)
+    w = df.writeStream.foreachBatch(f).outputMode(mode).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
