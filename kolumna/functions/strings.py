@@ -113,4 +113,6 @@ def is_class(x, name: str) -> Column:
 
 
 def fmt(x, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", col(x).cast("double"))
+    """The exact binary value in so many decimals, as C prints it; Java would print the shortest decimal that reads back."""
+    text = F.udf(lambda v: None if v is None else f"{v:.{decimals}f}", "string", useArrow=True)
+    return text(col(x).cast("double"))

@@ -150,7 +150,7 @@ def digits_in_base(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, printf('%.2f', round(c_acctbal, 2)) AS money FROM customer")
 def fixed_decimals(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", T.fmt(F.round("c_acctbal", 2), 2).alias("money"))
+    return t.customer.select("c_custkey", T.fmt(semantics.rounded("c_acctbal", 2), 2).alias("money"))
 
 
 @query("SELECT count(*) AS n, true AS inside, true AS spread, true AS again, true AS distinct_ids, true AS shape FROM customer")

@@ -120,3 +120,12 @@ def signum(x) -> Column:
 
 def ifelse(p: Column, x, y) -> Column:
     return F.when(holds(p), x).otherwise(y)
+
+
+def rounded(x, decimals: int) -> Column:
+    """Binary rounding, halves away from zero, by scaling up and down; -0.0 stays negative. Spark's round() goes by the
+    decimal text instead and rounds 1.005 up. What cannot be scaled is left alone."""
+    x = col(x).cast("double")
+    size = F.round(F.abs(x) * 10.0**decimals, 0) / 10.0**decimals
+    huge = F.isnan(x) | (F.abs(x) * 10.0**decimals == float("inf"))
+    return F.when(huge, x).when((x < 0) | (x.cast("string") == "-0.0"), -size).otherwise(size)
