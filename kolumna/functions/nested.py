@@ -95,14 +95,23 @@ def over(f: Callable[[Column, Column], Column], start: Column, xs) -> Column:
 
 
 def scan(f: Callable[[Column, Column], Column], start: Column, xs, kind: str) -> Column:
-    """All intermediate results of a fold."""
-    empty = F.struct(start.alias("last"), F.array().cast(f"array<{kind}>").alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = f(acc["last"], x).cast(kind)
-        return F.struct(new.alias("last"), F.concat(acc["all"], F.array(new)).alias("all"))
-
-    return F.aggregate(col(xs), empty, step, lambda acc: acc["all"])
+    """All intermediate results of a fold.
+
+    A growing list is copied with every item, so a list is cut in blocks of about the square root of its length: a fold
+    of each block gives what the next one starts from, then each block gathers its own results.
+    """
+    xs, none = col(xs), F.array().cast(f"array<{kind}>")
+    each_new = lambda a, x: f(a, x).cast(kind)
+    width = F.greatest(F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / width).cast("int"), F.lit(0))), lambda i: F.slice(xs, i * width + 1, width))
+
+    def gathered(over, first: Column, new, kept) -> Column:
+        """The list of kept(old, new) over the steps of a fold."""
+        step = lambda acc, x: F.struct(new(acc["last"], x).alias("last"), F.concat(acc["all"], F.array(kept(acc["last"], x))).alias("all"))
+        return F.aggregate(over, F.struct(first.alias("last"), none.alias("all")), step, lambda acc: acc["all"])
+
+    starts = gathered(blocks, start.cast(kind), lambda a, block: F.aggregate(block, a, each_new), lambda a, _: a)
+    return F.flatten(F.zip_with(blocks, starts, lambda block, first: gathered(block, first, each_new, each_new)))
 
 
 def prior(f: Callable[[Column, Column], Column], xs) -> Column:
