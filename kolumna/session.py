@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """cut() for plain columns, as compressed Parquet: written once, its size known to the optimizer, its shuffle files gone."""
+    spark = df.sparkSession
+    path, key = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
     """Let Python workers of this machine import this package from where the driver did.
 

@@ -1,10 +1,15 @@
 """What larger tables showed: results beside DuckDB's on values that small tables lack, and what a verb gathers."""
 
+import itertools
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from kolumna.functions import nested as N
+from kolumna.plans import graph as G
+from kolumna.plans import vector as V
 from kolumna.queries import all_queries, all_sql
 from kolumna.streaming import streams
 
@@ -46,3 +51,42 @@ def test_scan_of_long_lists(spark, n):
     df = spark.createDataFrame([(list(range(n)),), (None,)], "l array<int>")
     got = [r["s"] for r in df.select(N.scan(lambda a, x: a + x, F.lit(0), "l", "bigint").alias("s")).collect()]
     assert got == [[k * (k + 1) // 2 for k in range(n)], None]
+
+
+def test_spanning_forest_by_rounds_and_by_folds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(a, b, float(rng.randrange(20))) for a, b in {tuple(sorted(rng.sample(range(200), 2))) for _ in range(900)}]
+    df = spark.createDataFrame(rows, "src long, dst long, weight double").repartition(5)
+    root, want = list(range(200)), set()
+    for w, a, b in sorted((w, a, b) for a, b, w in rows):
+        if root[a] != root[b]:
+            want.add((a, b, w))
+            root = [root[a] if x == root[b] else x for x in root]
+    for local in (30, 1000):
+        monkeypatch.setattr(G, "LOCAL", local)
+        assert {(r["src"], r["dst"], r["weight"]) for r in G.mst(df).collect()} == want
+
+
+def test_centrality_of_a_graph_of_many_edges(spark):
+    star = spark.range(1, 2_000_100).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    source = spark.createDataFrame([(0,)], "node long")
+    assert G.closeness(star, source).first()["closeness"] == 1.0
+    assert G.betweenness(star, source).agg(F.max("betweenness"), F.count("node")).first()[:] == (0.0, 2_000_100)
+
+
+def test_lightest_paths_of_a_graph_of_many_edges(spark):
+    far = spark.range(100, 1_000_200).selectExpr("id AS src", "id + 1 AS dst", "1000D AS weight")
+    near = spark.createDataFrame([(0, 1, 1.0), (1, 3, 1.0), (0, 2, 2.0), (2, 3, 2.0), (1, 2, 0.5), (3, 100, 1.0)], "src long, dst long, weight double")
+    assert G.k_shortest(near.union(far), 0, 3, 9) == [(2.0, [0, 1, 3]), (3.5, [0, 1, 2, 3]), (4.0, [0, 2, 3])]
+
+
+def test_hashed_search_in_blocks_is_the_join_by_patterns(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    queries, s = df.where("vec_id % 50 = 0"), V.Signs(64, 2, 8)
+    got = {(r["query"], r["vec_id"]) for r in s.search_many(None, df, "vec_id", "embedding", queries, 10).collect()}
+    masks = [0, *(1 << i for i in range(8)), *((1 << i) | (1 << j) for i, j in itertools.combinations(range(8), 2))]
+    own = s.build(queries, "vec_id", "embedding").select(F.col("vec_id").alias("query"), "table", "code")
+    probe = own.select("query", "table", F.explode(F.array(*[F.col("code").bitwiseXOR(F.lit(m)) for m in masks])).alias("code"))
+    pairs = probe.join(s.build(df, "vec_id", "embedding"), ["table", "code"]).select("query", "vec_id").distinct()
+    want = {(r["query"], r["vec_id"]) for r in V.ranked(pairs, df, "vec_id", "embedding", queries, 10, "cosine").collect()}
+    assert got == want
